@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from headway.llm.decontaminate import OP9_SQL, op9_decontamination
+from headway.llm.lang_id import op8_language_id
 from headway.llm.mixing import OP7_SQL, op7_mixing
 
 QUERIES = {
     "op7_mixing": op7_mixing,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
 }
 SQL = {"op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}

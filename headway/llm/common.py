@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,14 +19,17 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.75
 #: Bytes of text that one NumPy step handles; its temporary arrays take about 60 times as much.
 CHUNK_BYTES = 1 << 20
+_OWN_ROOT: list[str] = []
 
 
 def work_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="headway-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN_ROOT:
+            _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="headway-"))
+            atexit.register(shutil.rmtree, _OWN_ROOT[0].removeprefix("file://"), ignore_errors=True)
+        root = _OWN_ROOT[0]
     return root.rstrip("/")
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from headway.llm.decontaminate import OP9_SQL, op9_decontamination
 from headway.llm.lang_id import op8_language_id
+from headway.llm.license_scan import op10_license_scan
 from headway.llm.mixing import OP7_SQL, op7_mixing
+from headway.llm.pii import op1_pii
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
+    "op10_license_scan": op10_license_scan,
     "op9_decontamination": op9_decontamination,
 }
 SQL = {"op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from headway.llm.decontaminate import OP9_SQL, op9_decontamination
+from headway.llm.html_extract import op6_html_extraction
 from headway.llm.lang_id import op8_language_id
 from headway.llm.license_scan import op10_license_scan
 from headway.llm.mixing import OP7_SQL, op7_mixing
@@ -10,6 +11,7 @@ from headway.llm.pii import op1_pii
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op6_html_extraction": op6_html_extraction,
     "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op10_license_scan": op10_license_scan,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from headway.llm.decontaminate import OP9_SQL, op9_decontamination
 from headway.llm.embedding_dedup import OP5_SQL, op5_embedding_near_dedup
 from headway.llm.html_extract import op6_html_extraction
+from headway.llm.jaccard_join import OP4_SQL, op4_ngram_jaccard_join
 from headway.llm.lang_id import op8_language_id
 from headway.llm.license_scan import op10_license_scan
 from headway.llm.mixing import OP7_SQL, op7_mixing
@@ -12,6 +13,7 @@ from headway.llm.pii import op1_pii
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_html_extraction": op6_html_extraction,
     "op7_mixing": op7_mixing,
@@ -19,4 +21,4 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op9_decontamination": op9_decontamination,
 }
-SQL = {"op5_embedding_near_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}
+SQL = {"op4_ngram_jaccard_join": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}

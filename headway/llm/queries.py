@@ -10,8 +10,10 @@ from headway.llm.lang_id import op8_language_id
 from headway.llm.license_scan import op10_license_scan
 from headway.llm.mixing import OP7_SQL, op7_mixing
 from headway.llm.pii import op1_pii
+from headway.llm.suffix_dedup import op3_suffix_array_dedup
 
 QUERIES = {
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op1_pii": op1_pii,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,

@@ -8,11 +8,13 @@ from headway.llm.html_extract import op6_html_extraction
 from headway.llm.jaccard_join import OP4_SQL, op4_ngram_jaccard_join
 from headway.llm.lang_id import op8_language_id
 from headway.llm.license_scan import op10_license_scan
+from headway.llm.line_dedup import op2_line_dedup
 from headway.llm.mixing import OP7_SQL, op7_mixing
 from headway.llm.pii import op1_pii
 from headway.llm.suffix_dedup import op3_suffix_array_dedup
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op1_pii": op1_pii,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,

@@ -48,19 +48,12 @@ def source_targets(sized: DataFrame) -> DataFrame:
     )
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs(doc_id, text, source)``.
+def _hashed(doc_id: str, seed: str):
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
 
-    A source takes all its documents ``floor(target / source_size)`` times, and once more those whose hash lies below
-    a threshold. The threshold is found from histograms: sizes are summed by source and by the leading 12 bits of the
-    hash, only the bucket that holds the boundary is summed again by the next 12 bits, and so on for 36 bits; the last
-    bucket is taken if that comes nearer to the target. Nothing is sorted, a hot source is summed before the shuffle,
-    and the decision is a filter on each row's own hash, so that reruns agree.
 
-    A null text has size 0; null sources form one source; rows that share a doc_id share a decision.
-    """
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    sized = materialize(docs.select("doc_id", "source", n_words().alias("size"), h.alias("h")), "mix-sizes")
+def mixing_plan(sized: DataFrame) -> DataFrame:
+    """``source, source_size, target, full, cut`` from ``sized(source, size, h)``: whole rounds, and the threshold of one more."""
     targets = materialize(source_targets(sized), "mix-targets").select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MOST_REPEATS))).otherwise(0).cast("long").alias("full"))
     bounds = targets.select("source", (F.col("target") - F.col("full") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("prefix"))
     for level in range(LEVELS):
@@ -74,9 +67,27 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
         bounds = materialize(bounds, f"mix-level{level}")
     nearer = F.when(F.col("before") + F.col("here") - F.col("rest") < F.col("rest") - F.col("before"), 1).otherwise(0)
     cut = bounds.select(F.col("source").alias("s"), (F.col("prefix") + nearer).alias("cut"))
-    plan = materialize(targets.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "mix-plan").withColumnRenamed("source", "s")
-    more = F.when(F.shiftright("h", 60 - LEVEL_BITS * LEVELS) < F.coalesce("cut", F.lit(0)), 1).otherwise(0)
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(F.col("full") + more, F.lit(MOST_REPEATS))).alias("taken"))
+    return materialize(targets.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "full", F.coalesce("cut", F.lit(0)).alias("cut")), "mix-plan")
+
+
+def mix_sources(docs: DataFrame, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` and ``keep`` for every row of ``docs(doc_id, text, source)``.
+
+    A source takes all its documents ``floor(target / source_size)`` times, and once more those whose hash lies below
+    a threshold. The threshold is found from histograms: sizes are summed by source and by the leading 12 bits of the
+    hash, only the bucket that holds the boundary is summed again by the next 12 bits, and so on for 36 bits; the last
+    bucket is taken if that comes nearer to the target. Nothing is sorted, a hot source is summed before the shuffle,
+    and the decision is a filter on each row's own hash, so that reruns agree.
+
+    A null text has size 0; null sources form one source; rows that share a doc_id share a decision. Columns to keep
+    must not be named like the results.
+    """
+    sized = materialize(docs.select("doc_id", "source", n_words().alias("size"), _hashed("doc_id", seed).alias("h")), "mix-sizes")
+    plan = mixing_plan(sized).withColumnRenamed("source", "s")
+    rows = docs.select("doc_id", "source", n_words().alias("size"), _hashed("doc_id", seed).alias("h"), *keep) if keep else sized
+    more = F.when(F.shiftright("h", 60 - LEVEL_BITS * LEVELS) < F.col("cut"), 1).otherwise(0)
+    taken = (F.col("size") * F.least(F.col("full") + more, F.lit(MOST_REPEATS))).alias("taken")
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", taken, *keep)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ from headway import constants as K
 
 #: Order of the model's inputs; imported models count on it.
 FEATURES = (
-    "hour", "day_of_week", "is_weekend", "month", "stop_sequence", "stops_ahead", "stops_remaining", "is_holiday", "dist_along_m", "remaining_dist_m", "progress_frac", "route_code",
-    "dist_per_stop", "speed_eta_warm", "effective_speed_mps", "hist_travel_time_est", "stationary_sec",
+    "route_id", "stop_sequence", "stops_ahead", "hour", "day_of_week", "month", "is_weekend", "is_holiday", "remaining_dist_m", "progress_speed_mps", "stops_remaining", "trip_progress_frac",
+    "dist_per_stop_m", "speed_eta_warm", "hist_speed_mps", "hist_travel_time_est", "stationary_sec",
 )
 
 
@@ -32,7 +32,7 @@ def progress_features(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     """Adds remaining distance, progress along ``lengths(trip_id, length_m)``, and distance a stop; unknown trips go."""
     rows = rows.join(lengths, "trip_id")
     remaining = F.greatest(F.lit(0.0), F.col("stop_dist_m") - F.col("dist_m"))
-    return rows.withColumns({"remaining_dist_m": remaining, "progress_frac": F.when(F.col("length_m") > 0, F.col("dist_m") / F.col("length_m")).otherwise(0.0), "dist_per_stop": remaining / F.greatest(F.col("stops_ahead"), F.lit(1))}).drop("length_m")
+    return rows.withColumns({"remaining_dist_m": remaining, "trip_progress_frac": F.col("stop_dist_m") / F.greatest(F.col("length_m"), F.lit(1.0)), "dist_per_stop_m": remaining / F.greatest(F.col("stops_ahead"), F.lit(1))}).drop("length_m")
 
 
 def route_hour_priors(rows: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def apply_priors(rows: DataFrame, priors: DataFrame) -> DataFrame:
     speed = F.coalesce("speed", "g_speed", F.lit(K.FALLBACK_SPEED_MPS))
     effective = F.when(F.col("progress_speed_mps") > 0, F.col("progress_speed_mps")).otherwise(speed)
     remaining = F.greatest(F.lit(0.0), F.col("stop_dist_m") - F.col("dist_m"))
-    out = rows.withColumns({"effective_speed_mps": effective, "speed_eta_warm": remaining / F.greatest(effective, F.lit(0.1)), "hist_travel_time_est": F.col("stops_ahead") * F.coalesce("sec_per_stop", "g_per_stop", F.lit(K.FALLBACK_SEC_PER_STOP))})
+    out = rows.withColumns({"hist_speed_mps": speed, "effective_speed_mps": effective, "speed_eta_warm": remaining / F.greatest(effective, F.lit(0.1)), "hist_travel_time_est": F.col("stops_ahead") * F.coalesce("sec_per_stop", "g_per_stop", F.lit(K.FALLBACK_SEC_PER_STOP))})
     return out.drop("speed", "sec_per_stop", "g_speed", "g_per_stop")
 
 

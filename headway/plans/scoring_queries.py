@@ -54,8 +54,8 @@ def features(spark, sf_dir):
     rows = T.training_rows(f, B.stops(f), horizon=B.HORIZON_SEC)
     lengths = B.stops(f).groupBy("trip_id").agg(F.max("stop_dist_m").alias("length_m"))
     rows = FE.progress_features(FE.calendar_features(FE.apply_priors(rows, FE.route_hour_priors(rows))), lengths)
-    rows = FE.with_codes(rows, FE.ordinal_codes(rows)).withColumnRenamed("dist_m", "dist_along_m")
-    return rows.select("vehicle_id", "trip_id", "seq", *(c for c in FE.FEATURES if c != "seq"), "seconds_to_arrival")
+    rows = FE.with_codes(rows, FE.ordinal_codes(rows))
+    return rows.select("vehicle_id", "trip_id", "seq", "route_code", *FE.FEATURES, "seconds_to_arrival")
 
 
 def sane_rows(spark, sf_dir):
@@ -165,7 +165,7 @@ cells AS (SELECT route_id, hour, grouping(route_id) AS g, quantile_cont(CASE WHE
           FROM training GROUP BY GROUPING SETS ((route_id, hour), ())),
 whole AS (SELECT COALESCE(speed, 5.0) AS g_speed, COALESCE(sec_per_stop, 40.0) AS g_per_stop FROM cells WHERE g = 1),
 priors AS (SELECT route_id, hour, COALESCE(speed, g_speed) AS speed, COALESCE(sec_per_stop, g_per_stop) AS sec_per_stop FROM cells, whole),
-primed0 AS (SELECT t.*, CASE WHEN progress_speed_mps > 0 THEN progress_speed_mps ELSE COALESCE(p.speed, g_speed) END AS effective_speed_mps, stops_ahead * COALESCE(p.sec_per_stop, g_per_stop) AS hist_travel_time_est
+primed0 AS (SELECT t.*, CASE WHEN progress_speed_mps > 0 THEN progress_speed_mps ELSE COALESCE(p.speed, g_speed) END AS effective_speed_mps, COALESCE(p.speed, g_speed) AS hist_speed_mps, stops_ahead * COALESCE(p.sec_per_stop, g_per_stop) AS hist_travel_time_est
             FROM training t CROSS JOIN whole LEFT JOIN priors p ON p.route_id = t.route_id AND p.hour = t.hour),
 primed AS (SELECT *, greatest(0.0::DOUBLE, stop_dist_m - dist_m) / greatest(effective_speed_mps, 0.1::DOUBLE) AS speed_eta_warm FROM primed0)"""
 SERVED_SQL = """
@@ -211,9 +211,9 @@ SQL = {
     "route_hour_priors": with_(*TRIPS, PRIORS_SQL) + "SELECT * FROM priors",
     "apply_priors": with_(*TRIPS, PRIORS_SQL) + "SELECT vehicle_id, trip_id, seq, stop_sequence, effective_speed_mps, speed_eta_warm, hist_travel_time_est FROM primed",
     "features": with_(*TRIPS, PRIORS_SQL, ORDERED_SQL, STATIONARY_SQL, " codes AS (SELECT route_id, row_number() OVER (ORDER BY route_id) - 1 AS code FROM (SELECT DISTINCT route_id FROM training))", recursive=True)
-    + """SELECT p.vehicle_id, p.trip_id, p.seq, p.hour, (isodow(service_date) - 1)::INT AS day_of_week, CASE WHEN isodow(service_date) >= 6 THEN 1 ELSE 0 END AS is_weekend, month(service_date)::INT AS month, stop_sequence, stops_ahead, stops_remaining,
-         CASE WHEN month(service_date) * 100 + day(service_date) IN (101, 107, 308, 501, 509, 628, 824, 1014, 1225) THEN 1 ELSE 0 END AS is_holiday, dist_m AS dist_along_m, greatest(0.0::DOUBLE, stop_dist_m - dist_m) AS remaining_dist_m,
-         dist_m / 3900.0::DOUBLE AS progress_frac, code::INT AS route_code, greatest(0.0::DOUBLE, stop_dist_m - dist_m) / stops_ahead AS dist_per_stop, speed_eta_warm, effective_speed_mps, hist_travel_time_est, stationary_sec, seconds_to_arrival
+    + """SELECT p.vehicle_id, p.trip_id, p.seq, code::INT AS route_code, p.route_id, stop_sequence, stops_ahead, p.hour, (isodow(service_date) - 1)::INT AS day_of_week, month(service_date)::INT AS month, CASE WHEN isodow(service_date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+         CASE WHEN month(service_date) * 100 + day(service_date) IN (101, 107, 308, 501, 509, 628, 824, 1014, 1225) THEN 1 ELSE 0 END AS is_holiday, greatest(0.0::DOUBLE, stop_dist_m - dist_m) AS remaining_dist_m, progress_speed_mps, stops_remaining,
+         stop_dist_m / 3900.0::DOUBLE AS trip_progress_frac, greatest(0.0::DOUBLE, stop_dist_m - dist_m) / stops_ahead AS dist_per_stop_m, speed_eta_warm, hist_speed_mps, hist_travel_time_est, stationary_sec, seconds_to_arrival
        FROM primed p JOIN still s ON s.vehicle_id = p.vehicle_id AND s.trip_id = p.trip_id AND s.seq = p.seq JOIN codes c ON c.route_id = p.route_id""",
     "sane_rows": with_(*TRIPS) + "SELECT route_id, count(*) AS n, max(seconds_to_arrival) AS longest FROM training WHERE seconds_to_arrival BETWEEN 0 AND 3600 AND route_id NOT IN ('3', '7') GROUP BY route_id",
     "sample_weights": with_(*TRIPS) + "SELECT hour, sum(CASE WHEN hour >= 18 OR hour <= 3 THEN 2.0::DOUBLE WHEN hour BETWEEN 14 AND 16 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END) AS weight FROM training GROUP BY hour",

@@ -51,15 +51,25 @@ class Plan:
         return (n >= self.low) & (3 * n <= 4 * self.high)
 
 
-def signatures(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature, for distinct tokens sorted by row. Linked rows share a signature.
+#: Band of the signatures of deficient rows' prefixes; and where band and need lie in ``info``, above the size.
+PREFIX, BAND_AT, NEED_AT = 63, 56, 28
+#: Signatures that a pair must share, where so many are needed, after frequent ones are left out.
+LEAST_SHARED = 4
+#: Rounds in which a signature's members meet one of them, another each time, before they are paired.
+STARS = 4
+
+
+def signatures(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, signature and info (band, need, size), for distinct tokens sorted by row.
+
+    Linked rows share as many signatures in the band of the smaller one as either's need says, and one at least.
 
     Empty segments, and those of one shingle less one, aren't signed. A row for which they may be all that it shares
     with a partner is deficient; as a pair is safe if either side is not, deficient rows sign the prefix of their
     sorted shingles besides, which any two linked sets share.
     """
     size = np.bincount(row, minlength=rows)
-    out_row, out_sig = [], []
+    out_row, out_sig, out_info = [], [], []
     for band in range(int(size.max(initial=0)).bit_length()):
         plan = Plan(band)
         takes = plan.joins(size)
@@ -77,19 +87,22 @@ def signatures(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarra
         count = np.diff(np.append(first, len(key)))
         place = np.uint64(band << 40) + segment[first].astype(np.uint64) + np.uint64(1)
         sign = lambda total, at: mix64(mix64(total) + at * np.uint64(0x9E3779B97F4A7C15))
+        differ = plan.differ(size)
+        if plan.deletions:
+            need = plan.m - differ // 2 - (plan.m - np.bincount(r[first], weights=count > 1, minlength=rows).astype(np.int64))
+        else:
+            need = plan.m - differ - (plan.m - np.bincount(r[first], minlength=rows))
+        info = (np.int64(band) << BAND_AT) | (np.maximum(need, 1) << NEED_AT) | size
         out_row.append(r[first])
         out_sig.append(sign(sums, place))
-        differ = plan.differ(size)
+        out_info.append(info[r[first]])
         if plan.deletions:
             which = np.repeat(np.arange(len(first)), count)
             more = count[which] > 1
             out_row.append(r[more])
             out_sig.append(sign(sums[which][more] - mixed[more], place[which][more]))
-            weak = plan.m - np.bincount(r[first], weights=count > 1, minlength=rows)
-            deficient = takes & (weak >= plan.m - differ // 2)
-        else:
-            empty = plan.m - np.bincount(r[first], minlength=rows)
-            deficient = takes & (empty >= plan.m - differ)
+            out_info.append(info[r[more]])
+        deficient = takes & (need < 1)
         if deficient.any():
             rows_d = np.flatnonzero(deficient)
             begin = np.searchsorted(row, rows_d)
@@ -98,9 +111,10 @@ def signatures(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarra
                 prefix = np.sort(mix64(token[i : i + n]))[: n - -(-3 * n // 4) + 1]
                 out_row.append(np.full(len(prefix), x))
                 out_sig.append(mix64(prefix + np.uint64(77)))
+                out_info.append(np.full(len(prefix), (PREFIX << BAND_AT) | (1 << NEED_AT) | n, np.int64))
     if not out_row:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_row), np.concatenate(out_sig)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(out_row), np.concatenate(out_sig), np.concatenate(out_info)
 
 
 def _sets(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -135,11 +149,10 @@ def _sign(batches: Iterator) -> Iterator:
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
         for first, rows, row, token in _sets(batch.column("text")):
-            size = np.bincount(row, minlength=rows).astype(np.int32)
-            at, sig = signatures(row, token, rows)
+            at, sig, info = signatures(row, token, rows)
             for a in range(0, len(at), 65536):
                 part = at[a : a + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 65536].view(np.int64)), pa.array(ids[first + part]), pa.array(size[part])], ["sig", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 65536].view(np.int64)), pa.array(ids[first + part]), pa.array(info[a : a + 65536])], ["sig", "id", "info"])
 
 
 def _shingle_set(text: bytes | None) -> set:
@@ -181,12 +194,48 @@ def _linked(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     return materialize(whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), f"{label}-links")
 
 
+def _size(info: str):
+    return F.col(info).bitwiseAND((1 << NEED_AT) - 1)
+
+
+def _fits(x: str, y: str):
+    """Whether sizes allow a link, and the signature's band is that of the smaller set, or it is of the prefix."""
+    low, high = F.least(_size(x), _size(y)), F.greatest(_size(x), _size(y))
+    band = F.shiftright(x, BAND_AT)
+    return (4 * low >= 3 * high) & ((band == PREFIX) | (F.call_function("shiftright", low, band.cast("int")) == 1))
+
+
+def _need(info: str):
+    return F.shiftright(info, NEED_AT).bitwiseAND((1 << (BAND_AT - NEED_AT)) - 1)
+
+
+def _rarest(met: DataFrame) -> DataFrame:
+    """Each set's signatures in a band less the most frequent ones, so many that any partner still shares LEAST_SHARED.
+
+    Cost-based allocation: of two linked sets' shared signatures either side leaves out the most frequent first, so
+    both leave out the same ones. A set with fewer shared signatures than it needs has no partner, and goes.
+    """
+    often = met.groupBy("sig").agg(F.count("*").alias("f"))
+    of_set = Window.partitionBy("id", F.shiftright("info", BAND_AT)).orderBy(F.desc("f"), "sig")
+    ranked = met.join(often, "sig").withColumn("rank", F.row_number().over(of_set))
+    return ranked.where((F.shiftright("info", BAND_AT) == PREFIX) | (F.col("rank") > _need("info") - F.least(_need("info"), F.lit(LEAST_SHARED)))).select("sig", "id", "info")
+
+
+def _likely(pairs: DataFrame, share: float) -> DataFrame:
+    """``a, b`` of ``pairs(a, b, info_a, info_b)``, a row for each kept signature shared, with that share of those needed."""
+    pairs = pairs.where(_fits("info_a", "info_b"))
+    prefix = F.shiftright("info_a", BAND_AT) == PREFIX
+    counted = pairs.groupBy("a", "b").agg(F.count_if(~prefix).alias("n"), F.max(F.when(~prefix, F.least(F.greatest(_need("info_a"), _need("info_b")), F.lit(LEAST_SHARED)))).alias("need"), F.max(prefix).alias("by_prefix"))
+    return counted.where(F.col("by_prefix") | (F.col("n") >= share * F.col("need"))).select("a", "b")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
-    Documents with the same set are one class, of which the least doc_id is signed. A signature's members are first
-    linked to its least one, if verified; only those that then lie in different components are compared among each
-    other. So a group of copies costs a star, and no link between different texts is lost: the result is exact.
+    Documents with the same set are one class, of which the least doc_id is signed. A signature's members first
+    meet one of them, chosen by hash, and another in each of a few rounds; only those that then still lie in different
+    components are paired with each other, and verified if they share as many signatures as linked sets must. So a group of copies costs a star, and no link
+    between different texts is lost: the result is exact.
 
     Null and empty texts have no shingles and link with nothing; a row with a null doc_id neither; rows that share a
     doc_id are one node.
@@ -197,21 +246,32 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     classes = materialize(known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "shingle-classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     texts = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    signed = _having(texts, reps).mapInArrow(_sign, "sig long, id long, n int")
+    signed = _having(texts, reps).mapInArrow(_sign, "sig long, id long, info long")
     by_sig = Window.partitionBy("sig").orderBy("id")
-    met = signed.select("sig", "id", "n", F.row_number().over(by_sig).alias("rn"), F.first("id").over(by_sig).alias("a"), F.lead("id", 1).over(by_sig).alias("next1"), F.lead("id", 2).over(by_sig).alias("next2"), F.first("n").over(by_sig).alias("n_a"))
-    met = materialize(met.where("rn > 1 OR next1 IS NOT NULL").select("sig", "id", "n", "a", "n_a", F.expr("rn >= 3 OR (rn = 1 AND next2 IS NOT NULL) OR (rn = 2 AND next1 IS NOT NULL)").alias("many")), "shared-signatures")
-    fits = lambda x, y: (4 * F.least(x, y) >= 3 * F.greatest(x, y))
-    tested = met.where((F.col("id") != F.col("a")) & fits(F.col("n"), F.col("n_a"))).select("a", F.col("id").alias("b")).distinct()
-    stars = _linked(tested, texts, "star")
-    reach = components(stars, "star-components")
-    crowd = materialize(met.where("many").select("sig", "id", "n").join(reach, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("c")), "crowded-signatures")
+    met = signed.select("sig", "id", "info", F.lag("id").over(by_sig).alias("before"), F.lead("id").over(by_sig).alias("next"))
+    met = materialize(met.where("before IS NOT NULL OR next IS NOT NULL").select("sig", "id", "info"), "shared-signatures")
+    kept = materialize(_rarest(met), "kept-signatures")
+    links, tested = None, None
+    crowd = kept.withColumn("c", F.col("id"))
+    for n in range(STARS):
+        least = crowd.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("h"), "id", "info", "c")).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
+        least = least.select("sig", F.col("m.id").alias("a"), F.col("m.info").alias("info_a"), F.col("m.c").alias("c_a"))
+        star = crowd.join(least, "sig").where("c <> c_a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "info_a", F.col("info").alias("info_b"))
+        star = _likely(star, 0.5)
+        star = materialize(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), f"star{n}-candidates")
+        new = _linked(star, texts, f"star{n}")
+        links, tested = (new, star) if n == 0 else (links.unionByName(new), tested.unionByName(star))
+        reach = components(links, f"star{n}-components")
+        crowd = materialize(kept.join(reach, "id", "left").select("sig", "id", "info", F.coalesce("component", "id").alias("c")), f"star{n}-signatures")
+        if new.isEmpty():
+            break
     mixed = crowd.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("sig")
     crowd = crowd.join(mixed, "sig")
-    other = crowd.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    cross = crowd.join(other, "sig").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("c_b")) & fits(F.col("n"), F.col("n_b"))).select(F.col("id").alias("a"), "b").distinct()
+    other = crowd.select("sig", F.col("id").alias("b"), F.col("info").alias("info_b"), F.col("c").alias("c_b"))
+    cross = crowd.join(other, "sig").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("c_b")) & _fits("info", "info_b"))
+    cross = _likely(cross.select(F.col("id").alias("a"), "b", F.col("info").alias("info_a"), "info_b"), 1.0).join(tested, ["a", "b"], "left_anti")
     crossed = _linked(cross, texts, "cross")
-    reach = components(stars.unionByName(crossed), "jaccard-components")
+    reach = components(links.unionByName(crossed), "jaccard-components")
     solved = materialize(classes.join(reach, classes["rep"] == reach["id"], "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "jaccard-solved")
     linked = digest.where("n_shingles > 0").join(solved, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return linked.unionByName(digest.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

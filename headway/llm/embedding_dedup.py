@@ -31,33 +31,41 @@ def _blocks(dims: int, budget: float) -> list[tuple[int, int, float]]:
 
 def _unit(batch_column) -> np.ndarray:
     """Rows of doubles of unit length; all rows of one batch group have the same dimension."""
-    x = np.array(batch_column.to_pylist(), dtype=np.float64)
+    x = batch_column.combine_chunks() if hasattr(batch_column, "combine_chunks") else batch_column
+    x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _flips(values: np.ndarray, budget: float) -> list[int]:
-    """Masks of the signs that a vector within the budget may have flipped: crossing zero in a coordinate costs its square."""
-    masks = [(0, 0.0)]
-    for i, v in enumerate(values):
-        masks += [(m | 1 << i, c + v * v) for m, c in masks if c + v * v <= budget]
-    return [m for m, _ in masks]
+def _flips(values: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, mask) for the signs that vectors within the budget may have flipped: crossing zero in a coordinate costs its square."""
+    masks = np.arange(1 << values.shape[1])
+    bits = (masks[:, None] >> np.arange(values.shape[1])) & 1
+    return np.nonzero((values**2) @ bits.T <= budget)
 
 
 def _links_within(unit: np.ndarray, rotated: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, j: int, spans: list, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs (indices) between rows ``left`` and ``right``, at least one of them at home, first met in block ``j``."""
     same = left is right
+    lo, hi, budget = spans[j]
+    y = rotated[right, lo:hi]
     for a in range(0, len(left), 256):
         rows = left[a : a + 256]
-        fits = None
-        for b, (lo, hi, budget) in enumerate(spans[: j + 1]):
-            x, y = rotated[rows, lo:hi], rotated[right, lo:hi]
-            near = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T <= budget
-            fits = near if fits is None else (near & ~fits if b == j else near | fits)
-        at = np.nonzero(fits & (home[rows][:, None] | home[right][None, :]) & (unit[rows] @ unit[right].T >= cosine))
-        p, q = rows[at[0]], right[at[1]]
-        if same:
-            p, q = p[p < q], q[p < q]
-        yield p, q
+        x = rotated[rows, lo:hi]
+        fits = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T <= budget
+        fits &= home[rows][:, None] | home[right][None, :]
+        at = np.nonzero(fits)
+        for k in range(0, len(at[0]), 50_000):
+            p, q = rows[at[0][k : k + 50_000]], right[at[1][k : k + 50_000]]
+            if same:
+                p, q = p[p < q], q[p < q]
+            near = (unit[p] * unit[q]).sum(1) >= cosine
+            p, q = p[near], q[near]
+            seen = np.zeros(len(p), bool)
+            for lo_b, hi_b, budget_b in spans[:j]:
+                u, v = rotated[p, lo_b:hi_b], rotated[q, lo_b:hi_b]
+                seen |= (u * u).sum(1) + (v * v).sum(1) - 2 * (u * v).sum(1) <= budget_b
+            yield p[~seen], q[~seen]
 
 
 def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -93,18 +101,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell_rows: int =
     Vectors without label, null, empty, zero, or with null or non-finite components link with nothing. Rows that share
     a vec_id each count as a vector, and reach the same component.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"), F.col("label"))
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.expr("NOT exists(e, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))") & F.expr("exists(e, x -> x <> 0)")
-    rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    rows = rows.withColumn("e", F.when(F.col("ok"), F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> greatest(a, abs(y))))")))
-    rows = materialize(rows, "vectors")
+    rows = materialize(rows.withColumn("ok", F.coalesce(ok, F.lit(False))), "vectors")
     classes = materialize(rows.where("ok").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vector-classes")
     sizes = classes.groupBy("label", F.size("e").alias("dims")).agg(F.count("*").alias("n")).withColumn("signs", F.greatest(F.lit(0), F.least(F.lit(BLOCK_DIMS), F.round(F.log2(F.col("n") / cell_rows)).cast("int"))))
     sizes = materialize(sizes, "vector-sizes")
     sized = classes.join(sizes.withColumnRenamed("label", "l"), (F.col("label") == F.col("l")) & (F.size("e") == F.col("dims"))).select("id", "copies", "label", "dims", "signs", "e")
     budget = 2 - 2 * cosine
     label = vectors.schema["label"].dataType.simpleString()
-    schema = f"id long, copies long, label {label}, dims int, block int, cell int, home boolean, e array<double>"
+    schema = f"id long, copies long, label {label}, dims int, block int, cell int, home boolean, e {vectors.schema["embedding"].dataType.simpleString()}"
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -118,20 +124,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell_rows: int =
                 here = np.flatnonzero(dims == d)
                 part = batch.take(pa.array(here))
                 rotated = _unit(part.column("e")) @ turn[d]
-                index, block, cell, home = [], [], [], []
                 for j, (lo, hi, most) in enumerate(_blocks(int(d), budget)):
-                    for r in range(len(here)):
-                        x = rotated[r, lo : min(hi, lo + signs[here[r]])]
-                        own = sum(1 << i for i, v in enumerate(x) if v >= 0)
-                        for m in _flips(x, most):
-                            if not m or own ^ m > own:
-                                index.append(r)
-                                block.append(j)
-                                cell.append(own ^ m)
-                                home.append(not m)
-                for a in range(0, len(index), 8192):
-                    few = part.take(pa.array(index[a : a + 8192]))
-                    yield pa.RecordBatch.from_arrays([few.column("id"), few.column("copies"), few.column("label"), few.column("dims"), pa.array(block[a : a + 8192], pa.int32()), pa.array(cell[a : a + 8192], pa.int32()), pa.array(home[a : a + 8192]), few.column("e")], ["id", "copies", "label", "dims", "block", "cell", "home", "e"])
+                    for n in np.unique(signs[here]):
+                        own_rows = np.flatnonzero(signs[here] == n)
+                        x = rotated[own_rows, lo : min(hi, lo + n)]
+                        own = ((x >= 0) << np.arange(x.shape[1])).sum(1)
+                        row, mask = _flips(x, most)
+                        cell = own[row] ^ mask
+                        keep = (mask == 0) | (cell > own[row])
+                        row, cell, home = own_rows[row[keep]], cell[keep], mask[keep] == 0
+                        for a in range(0, len(row), 8192):
+                            few, size = part.take(pa.array(row[a : a + 8192])), len(row[a : a + 8192])
+                            yield pa.RecordBatch.from_arrays([few.column("id"), few.column("copies"), few.column("label"), few.column("dims"), pa.array(np.full(size, j), pa.int32()), pa.array(cell[a : a + 8192], pa.int32()), pa.array(home[a : a + 8192]), few.column("e")], ["id", "copies", "label", "dims", "block", "cell", "home", "e"])
 
     placed = materialize(sized.mapInArrow(place, schema), "vector-cells")
     cell = ["label", "dims", "block", "cell"]

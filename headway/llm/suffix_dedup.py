@@ -303,18 +303,19 @@ def repeated_spans(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     repeated = found.select("gram", "whole", "key", F.col("s").alias("a"), (F.col("e") + LENGTH).alias("b")).join(wholes.where("n > 1").select("gram", "whole"), ["gram", "whole"]).select("key", "a", "b")
     sizes = materialize(wholes.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "anchor-groups")
     members = materialize(wholes.join(sizes, "gram").select("gram", "size", "one.*"), "anchor-members")
-    of_text = members.groupBy("key", "id").agg(F.collect_list(F.struct("gram", "pos", "s", "e")).alias("wanted"))
-    ids = members.select(F.col("id").alias("i")).distinct()
-    few = ids.count() <= BROADCAST_ROWS
     texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1)))
-    texts = texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("i"), "left_semi")
-    rows = materialize(texts.join(of_text, ["key", "id"]).select("key", "text", "wanted").mapInArrow(_contexts, _ROW), "contexts")
-    large = sizes.where(F.col("size") > group_rows).select(F.col("gram").alias("g"))
-    small, spans = rows, [repeated]
+
+    def contexts(wanted: DataFrame) -> DataFrame:
+        of_text = wanted.groupBy("key", "id").agg(F.collect_list(F.struct("gram", "pos", "s", "e")).alias("wanted"))
+        of_text = F.broadcast(of_text) if wanted.count() <= BROADCAST_ROWS else of_text
+        return texts.join(of_text, ["key", "id"]).select("key", "text", "wanted").mapInArrow(_contexts, _ROW)
+
+    small, spans = contexts(members.where(F.col("size") <= group_rows)), [repeated]
+    large = members.where(F.col("size") > group_rows)
     if not large.isEmpty():
-        more, cut = _crowded(rows.join(large, F.col("grp") == F.col("g"), "left_semi"), group_rows)
+        more, cut = _crowded(contexts(large), group_rows)
         spans += more
-        small = rows.join(large, F.col("grp") == F.col("g"), "left_anti").unionByName(cut)
+        small = small.unionByName(cut)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     spans.append(small.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_spans_of_groups, _SPAN))
     every = spans[0]

@@ -11,8 +11,9 @@ from headway.sources import wire
 
 
 def key_instant(name):
-    """The instant in an object's name ``<ISO time>.pb``, null if there is none."""
-    return F.try_to_timestamp(F.regexp_extract(name, r"([^/]*)\.pb$", 1))
+    """The instant in an object's name ``<ISO time>.pb``, with or without punctuation; null if there is none."""
+    text = F.regexp_extract(name, r"([^/]*)\.pb$", 1)
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss'Z'")))
 
 
 def snapshot_files(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -29,10 +29,10 @@ def advance(state: tuple | None, trip_id: str, t: float, dist: float) -> tuple[t
     return (trip_id, t, dist, speed, still_t, still_d), speed, t - still_t
 
 
-def tracked(fixes: DataFrame, forget_after: str = "6 hours") -> DataFrame:
+def tracked(fixes: DataFrame, forget_after_ms: int = 6 * 3600 * 1000) -> DataFrame:
     """Speed and time at rest for a stream of ``vehicle_id, trip_id, seq, t, dist_m``, by state for each vehicle.
 
-    State goes when a vehicle hasn't been seen for ``forget_after``; a micro-batch holds a few fixes of each.
+    State goes when a vehicle hasn't been seen for ``forget_after_ms``; a micro-batch holds a few fixes of each.
     """
 
     def step(key: tuple, pdfs: Iterator, state: GroupState) -> Iterator:
@@ -48,7 +48,7 @@ def tracked(fixes: DataFrame, forget_after: str = "6 hours") -> DataFrame:
             now, speed, still = advance(now, r.trip_id, r.t, r.dist_m)
             out.append((key[0], r.trip_id, r.seq, r.t, r.dist_m, speed, still))
         state.update(now)
-        state.setTimeoutDuration(forget_after)
+        state.setTimeoutDuration(forget_after_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
     return fixes.groupBy("vehicle_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

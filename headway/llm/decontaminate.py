@@ -26,9 +26,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, containment: float = SIMILARIT
     Items are partitioned by size. MinHash orders shingles by a random hash, and an item's sketch is its bottom k
     values, with k one more than the shingles that it may lack at this threshold: so a document that contains the item
     holds at least one of them, whatever its own length. Each partition of sizes has a cut, the largest value in its
-    sketches; shingles of documents above every cut are dropped before anything is exploded or joined. Candidates are
+    sketches; shingles of documents above the largest cut are dropped before anything is exploded or joined. Candidates are
     verified with the shingles themselves, so the result is exact.
 
+    Items under five words are out of reach inside longer documents: one is a single shingle of all its words, which only
+    a document of exactly those words has.
+
     Rows with null or empty text on either side match nothing; rows that share a doc_id count as one document.
     """
     k = f"size(h) - cast(ceil({containment} * size(h)) as int) + 1"

@@ -23,9 +23,11 @@ _OWN_ROOT: list[str] = []
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (tests) a local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset on a local master one of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN_ROOT:
             _OWN_ROOT.append("file://" + tempfile.mkdtemp(prefix="headway-"))
             atexit.register(shutil.rmtree, _OWN_ROOT[0].removeprefix("file://"), ignore_errors=True)
@@ -38,7 +40,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_root(spark)}/headway-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -171,8 +184,9 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        edges = materialize(small.where("a <> b").distinct(), label)
+        before, edges = edges, materialize(small.where("a <> b").distinct(), label)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        discard(before)
         if now == seen:
             break
         seen = now

@@ -44,3 +44,8 @@ def until_departure(departure: Column, now: Column, route_type: Column) -> Colum
 def instance(departure: Column, now: Column, today: Column) -> Column:
     """The service date of a trip seen now: the day before for one that left before midnight."""
     return F.when(departure - now > HALF_DAY, F.date_sub(today, 1)).otherwise(today)
+
+
+def day_after(text: Column) -> Column:
+    """The date after one given as text; null for a bad one."""
+    return F.date_add(text.try_cast("date"), 1)

@@ -67,8 +67,20 @@ def sane(rows: DataFrame, needed: tuple[str, ...] = ("seconds_to_arrival", "dist
 
 
 def bucket(share: float, *keys: str) -> Column:
-    """Whether the hash of the keys falls into this share: a sample that every run draws alike."""
-    return F.pmod(F.xxhash64(*keys), F.lit(10_000)) < int(share * 10_000)
+    """Whether the hash of the keys falls into this share: a sample that every run, and every engine, draws alike."""
+    text = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 10_000 < int(share * 10_000)
+
+
+def snapshot_sample(rows: DataFrame, share: float, snapshot: str = "feed_ts") -> DataFrame:
+    """All rows of that share of the snapshots, chosen by hash: rows of one snapshot stay together."""
+    return rows.where(bucket(share, snapshot))
+
+
+def capped_sample(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """About ``most`` rows chosen by hash of the keys, all where there are fewer; a Parquet table is counted by its metadata."""
+    n = rows.count()
+    return rows if n <= most else rows.where(bucket(most / n, *keys))
 
 
 def time_split(rows: DataFrame, share: float = 0.8, day: str = "service_date", keys: tuple[str, ...] = ("vehicle_id", "trip_id", "seq", "stop_sequence")) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway import constants as K
+
 SNAPSHOT = ("vehicle_id", "trip_id", "seq")
 
 
@@ -64,3 +66,9 @@ def calibrated(rows: DataFrame, corrections: DataFrame, predicted: str = "segmen
 
 def horizon_corrections(rows: DataFrame, predicted: str = "segment_eta") -> DataFrame:
     return rows.groupBy("stops_ahead").agg(F.expr(f"percentile({predicted} - seconds_to_arrival, 0.5)").alias("median_error"))
+
+
+def blended(left: DataFrame, right: DataFrame, keys: list[str], share: float = 0.5, most: float = K.MAX_HORIZON_SEC) -> DataFrame:
+    """``keys, a, b, blend``: two models' predictions where both have one, and their mean by ``share`` of the first, within 0 and ``most``."""
+    both = left.select(*keys, F.col("predicted").alias("a")).join(right.select(*keys, F.col("predicted").alias("b")), keys).dropna(subset=["a", "b"])
+    return both.withColumn("blend", F.least(F.greatest(share * F.col("a") + (1 - share) * F.col("b"), F.lit(0.0)), F.lit(most)))

@@ -34,6 +34,15 @@ def silver_gate(positions: DataFrame, snapshots: str = "feed_ts", day: str = "se
     return per_day.withColumn("passes", F.col("n") >= share * F.col("n_snapshots") * F.col("median_vehicles"))
 
 
+def stale_days(fixes: DataFrame, day: str = "service_date", most: int = 120) -> DataFrame:
+    """``day, median_age_sec, is_stale``: whether half of a day's fixes were older than that when they were served.
+
+    Ages are whole seconds: they are counted by value first, so that no task holds more than the different ages.
+    """
+    ages = fixes.groupBy(day, (F.col("feed_ts") - F.col("fix_ts")).cast("long").alias("age")).agg(F.count("*").alias("n"))
+    return ages.groupBy(day).agg(F.percentile("age", F.lit(0.5), F.col("n")).alias("median_age_sec")).withColumn("is_stale", F.col("median_age_sec") > most)
+
+
 def staleness(fixes: DataFrame, stale: int = K.STALE_FIX_SEC, slide: int = K.STALE_SLIDE_SEC) -> DataFrame:
     """Adds ``reference_ts, skew_sec, is_stale`` to ``fixes(feed_ts, fix_ts)``.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway.functions import clock
 from headway.functions.clock import service_seconds
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -69,6 +70,35 @@ def running(trips: DataFrame, now_sec, before: int = 600, after: int = 1800):
     return trips.withColumn("running", F.coalesce(F.lit(now_sec).between(F.col("first_sec") - before, F.col("last_sec") + after), F.lit(True)))
 
 
+def active_trips(services: DataFrame, trips: DataFrame, times: DataFrame, now_sec) -> DataFrame:
+    """``day, route_id, trip_id`` of the trips of active ``services(day, service_id)`` that run at that second of the day.
+
+    ``trips(trip_id, route_id, service_id)``, ``times(trip_id, first_sec, last_sec)`` as of :func:`bounds`.
+    """
+    return services.join(trips, "service_id").join(running(times, now_sec).where("running"), "trip_id").select("day", "route_id", "trip_id")
+
+
+def stop_times_of(stop_times: DataFrame, trip_ids: list[str]) -> DataFrame:
+    """Stops of the trips in their order; a filter on the trip reaches the scan."""
+    return stop_times.where(F.col("trip_id").isin(*trip_ids)).orderBy("trip_id", "stop_sequence")
+
+
+def vehicle_kind(routes: DataFrame) -> DataFrame:
+    """``route_id, route_type``: trolleybuses are told by their short name, whatever type is given; types that aren't numbers go."""
+    kind = F.when(F.trim("route_short_name").startswith("\u0422\u0440"), F.lit(11)).otherwise(F.trim("route_type").try_cast("int"))
+    return routes.select("route_id", kind.alias("route_type")).where("route_type IS NOT NULL")
+
+
+def instances(stop_times: DataFrame, trips: DataFrame, timezone: str) -> DataFrame:
+    """``trip_id, stop_sequence, start_date, start_time, scheduled``: when the trips seen now are due at each stop.
+
+    ``stop_times(trip_id, stop_sequence, sec)`` in seconds of the service day, ``trips(trip_id, now_sec, today)``.
+    """
+    first = stop_times.groupBy("trip_id").agg(F.min_by("sec", "stop_sequence").alias("departs"))
+    seen = trips.join(first, "trip_id").select("trip_id", clock.instance(F.col("departs"), F.col("now_sec"), F.col("today")).alias("start_date"), clock.service_text(F.col("departs")).alias("start_time"))
+    return stop_times.join(seen, "trip_id").select("trip_id", "stop_sequence", "start_date", "start_time", clock.service_instant(F.col("start_date"), F.col("sec"), timezone).alias("scheduled"))
+
+
 def latest_version(versions: DataFrame, days: DataFrame) -> DataFrame:
     """``day, version``: the latest version of a schedule on or before each day, null without one."""
     return days.join(versions.withColumnRenamed("day", "from_day"), F.col("from_day") <= F.col("day"), "left").groupBy("day").agg(F.max(F.struct("from_day", "version")).alias("v")).select("day", "v.version")

@@ -57,6 +57,17 @@ def project_near(points: DataFrame, segs: DataFrame, keys: list[str], slack: flo
     return best.select(*keys, "shape_id", "b.off_m", "b.along_m")
 
 
+def distance_along(points: DataFrame, segs: DataFrame, ambiguous_shapes: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, dist_m``: the nearest place along, on ambiguous shapes that closest to ``expected_m``; 0 without a shape.
+
+    ``ambiguous_shapes(shape_id)`` is one row a shape that passes a place twice.
+    """
+    twice = ambiguous_shapes.select("shape_id").distinct().withColumn("twice", F.lit(True))
+    told = points.join(twice, "shape_id", "left").withColumn("expected_m", F.when(F.col("twice"), F.col("expected_m")))
+    near = project_near(told, segs, keys, 30.0)
+    return points.select(*keys).join(near.select(*keys, "along_m"), keys, "left").select(*keys, F.coalesce("along_m", F.lit(0.0)).alias("dist_m"))
+
+
 def chord_tangent(places: DataFrame, segs: DataFrame, keys: list[str], reach: float = 5.0) -> DataFrame:
     """``keys, tangent``: the bearing of the chord from ``reach`` before to ``reach`` after ``along_m`` (1 % of short shapes)."""
     whole = places.join(lengths(segs), "shape_id").withColumn("h", F.least(F.lit(reach), F.col("length_m") * 0.01))

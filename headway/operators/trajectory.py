@@ -132,27 +132,28 @@ def dwell_table(dwells: DataFrame, route_types: DataFrame, least: int = K.DWELL_
     return grouped.where((F.col("all") == 1) | (F.col("route_type").isNotNull() & (F.col("n") >= least))).select(F.when(F.col("all") == 1, "_global").otherwise(F.col("route_type").cast("string")).alias("route_type"), "n", "dwell_sec")
 
 
-def off_route_signals(fixes: DataFrame, off: float = K.OFF_ROUTE_DIST_M, on: float = K.ON_ROUTE_DIST_M, wrong: float = K.BEARING_WRONG_DEG) -> DataFrame:
+def off_route_signals(fixes: DataFrame, off: float = K.OFF_ROUTE_DIST_M, on: float = K.ON_ROUTE_DIST_M, wrong: float = K.BEARING_WRONG_DEG, keys: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
     """Adds ``looks_off``: far off, or heading the wrong way, or moving away for three fixes. Needs ``off_m``, ``bearing_diff``."""
-    w = along("vehicle_id")
+    w = along(*keys)
     d1, d2 = F.lag("off_m", 1).over(w), F.lag("off_m", 2).over(w)
     away = (F.col("off_m") > d1) & (d1 > d2) & (F.col("off_m") > on)
     heading = (F.col("bearing_diff") > wrong) & (F.col("off_m") > K.BEARING_MIN_DIST_M)
     return fixes.withColumn("looks_off", (F.col("off_m") > off) | F.coalesce(heading, F.lit(False)) | F.coalesce(away, F.lit(False)))
 
 
-def off_route_status(fixes: DataFrame, consecutive_off: int = K.OFF_ROUTE_CONSEC, consecutive_on: int = K.ON_ROUTE_CONSEC, on: float = K.ON_ROUTE_DIST_M) -> DataFrame:
-    """``vehicle_id, seq, t, off_route``: on turns off after three fixes that look off, off turns on after three near ones.
+def off_route_status(fixes: DataFrame, consecutive_off: int = K.OFF_ROUTE_CONSEC, consecutive_on: int = K.ON_ROUTE_CONSEC, on: float = K.ON_ROUTE_DIST_M, keys: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
+    """``keys, seq, t, off_route``: on turns off after three fixes that look off, off turns on after three near ones.
 
-    The signals are windows; the status is a fold with one counter over a vehicle's fixes.
+    The signals are windows; the status is a fold with one counter over a vehicle's fixes. With ``trip_id`` among the
+    keys each trip starts on route, and a fold is no longer than a trip.
     """
-    runs = off_route_signals(fixes).groupBy("vehicle_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "looks_off", (F.col("off_m") <= on).alias("near")))).alias("f"))
+    runs = off_route_signals(fixes, keys=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "seq", "looks_off", (F.col("off_m") <= on).alias("near")))).alias("f"))
     turns = f"CASE WHEN a.off THEN CASE WHEN x.near THEN a.n + 1 ELSE 0 END >= {consecutive_on} ELSE CASE WHEN x.looks_off THEN a.n + 1 ELSE 0 END >= {consecutive_off} END"
     count = "CASE WHEN (a.off AND x.near) OR (NOT a.off AND x.looks_off) THEN a.n + 1 ELSE 0 END"
     fold = f"""aggregate(f, named_struct('off', false, 'n', 0, 'out', cast(array() as array<struct<seq:bigint,t:double,off:boolean>>)), (a, x) -> named_struct(
         'off', CASE WHEN {turns} THEN NOT a.off ELSE a.off END, 'n', CASE WHEN {turns} THEN 0 ELSE {count} END,
         'out', concat(a.out, array(named_struct('seq', x.seq, 't', x.t, 'off', CASE WHEN {turns} THEN NOT a.off ELSE a.off END)))), a -> a.out)"""
-    return runs.select("vehicle_id", F.inline(F.expr(fold))).withColumnRenamed("off", "off_route")
+    return runs.select(*keys, F.inline(F.expr(fold))).withColumnRenamed("off", "off_route")
 
 
 def off_route_episodes(statuses: DataFrame) -> DataFrame:

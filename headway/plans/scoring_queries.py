@@ -62,11 +62,6 @@ def sane_rows(spark, sf_dir):
     return FE.sane(_rows(spark, sf_dir), excluded=("3", "7")).groupBy("route_id").agg(F.count("*").alias("n"), F.max("seconds_to_arrival").alias("longest"))
 
 
-def time_split_counts(spark, sf_dir):
-    split = FE.time_split(_rows(spark, sf_dir))
-    return split.groupBy("service_date", "is_train").agg(F.count("*").alias("n"))
-
-
 def sample_weights(spark, sf_dir):
     return _rows(spark, sf_dir).groupBy("hour").agg(F.sum(FE.sample_weight(F.col("hour"))).alias("weight"))
 
@@ -202,7 +197,7 @@ def _axis(name, key, group, day=False):
 QUERIES = {
     f.__name__: f
     for f in (
-        route_hour_priors, apply_priors, features, sane_rows, time_split_counts, sample_weights, uncertainty_by_horizon, score_by_axis, score_overall, score_drop_counts, arriving_now, coverage_strict, physical_stop_coverage, nearest_prediction,
+        route_hour_priors, apply_priors, features, sane_rows, sample_weights, uncertainty_by_horizon, score_by_axis, score_overall, score_drop_counts, arriving_now, coverage_strict, physical_stop_coverage, nearest_prediction,
         coverage_gap_causes, coverage_gaps_by_route, coverage_gaps_by_hour, worst_routes, worst_predictions, pooled_mae, pooled_bias, pooled_bias_by_day, bias_accumulate, weekend_merge, route_digest_delta,
     )
 }

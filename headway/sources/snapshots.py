@@ -90,12 +90,12 @@ def encoded_feeds(rows: DataFrame, kind: str = "vehicles") -> DataFrame:
 REQUIRED = ("stop_times", "trips", "routes", "stops")
 
 
-def schedule_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def schedule_tables(spark: SparkSession, folder: str, file: str = "{}.txt") -> dict[str, DataFrame]:
     """The tables of an unpacked static feed, all columns as strings; required ones must have rows, others may be missing."""
     out = {}
     for name in (*REQUIRED, "shapes", "calendar", "calendar_dates", "agency"):
         try:
-            table = spark.read.csv(f"{folder}/{name}.txt", header=True, inferSchema=False)
+            table = spark.read.csv(f"{folder}/{file.format(name)}", header=True, inferSchema=False)
             if name in REQUIRED and table.isEmpty():
                 raise ValueError(f"{name} has no rows")
         except Exception as e:
@@ -106,6 +106,47 @@ def schedule_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
+def schedule_zip(spark: SparkSession, archive: str, folder: str) -> dict[str, DataFrame]:
+    """The tables of a zipped static feed, from anywhere that Spark reads; its members are unpacked to ``folder``, which executors must see.
+
+    One archive is one row of ``binaryFile``; each member is written as text by a task, so the driver holds none of it.
+    """
+
+    def members(batches: Iterator) -> Iterator:
+        import io
+        import zipfile
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for name in z.namelist():
+                        if name.endswith(".txt"):
+                            lines = z.read(name).decode("utf-8-sig").splitlines()
+                            yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(lines)), pa.array(lines)], ["name", "value"])
+
+    lines = spark.read.format("binaryFile").load(archive).select("content").mapInArrow(members, "name string, value string")
+    lines.write.mode("overwrite").partitionBy("name").text(folder)
+    return schedule_tables(spark, folder, "name={}.txt")
+
+
+def agency_timezone(agency: DataFrame, default: str = "UTC") -> str:
+    """The feed's time zone; one that isn't known counts as missing."""
+    from zoneinfo import ZoneInfo
+
+    row = agency.select("agency_timezone").where("agency_timezone IS NOT NULL").first() if "agency_timezone" in agency.columns else None
+    try:
+        return ZoneInfo(row[0].strip()).key if row else default
+    except (KeyError, ValueError, OSError):
+        return default
+
+
+def feature_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table of features by its suffix: Parquet, else CSV with a header."""
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
+
+
 def missing_days(days: DataFrame, written: DataFrame, day: str = "date") -> DataFrame:
     """The days of a run that aren't written yet."""
     return days.join(written.select(day).distinct(), day, "left_anti")

@@ -54,6 +54,44 @@ def tracked(fixes: DataFrame, forget_after_ms: int = 6 * 3600 * 1000) -> DataFra
     return fixes.groupBy("vehicle_id").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+OFF_STATE = "trip_id string, off boolean, n int, d1 double, d2 double"
+OFF_OUTPUT = "vehicle_id string, trip_id string, seq long, t double, off_route boolean"
+
+
+def advance_status(state: tuple | None, trip_id: str, off_m: float, bearing_diff: float | None) -> tuple:
+    """The next off-route state of a vehicle; a new trip starts on route."""
+    _, off, n, d1, d2 = state if state is not None and state[0] == trip_id else (trip_id, False, 0, None, None)
+    away = d1 is not None and d2 is not None and off_m > d1 > d2 and off_m > K.ON_ROUTE_DIST_M
+    heading = bearing_diff is not None and bearing_diff > K.BEARING_WRONG_DEG and off_m > K.BEARING_MIN_DIST_M
+    signal = off_m <= K.ON_ROUTE_DIST_M if off else off_m > K.OFF_ROUTE_DIST_M or heading or away
+    n = n + 1 if signal else 0
+    if n >= (K.ON_ROUTE_CONSEC if off else K.OFF_ROUTE_CONSEC):
+        off, n = not off, 0
+    return trip_id, off, n, off_m, d1
+
+
+def off_route(fixes: DataFrame, forget_after_ms: int = 6 * 3600 * 1000) -> DataFrame:
+    """The off-route status for a stream of ``vehicle_id, trip_id, seq, t, off_m, bearing_diff``, by state for each vehicle."""
+
+    def step(key: tuple, pdfs: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.get if state.exists else None
+        rows = pd.concat(list(pdfs)).sort_values(["t", "seq"])
+        out = []
+        for r in rows.itertuples():
+            now = advance_status(now, r.trip_id, r.off_m, None if pd.isna(r.bearing_diff) else r.bearing_diff)
+            out.append((key[0], r.trip_id, r.seq, r.t, now[1]))
+        state.update(now)
+        state.setTimeoutDuration(forget_after_ms)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OFF_OUTPUT.split(", ")])
+
+    return fixes.groupBy("vehicle_id").applyInPandasWithState(step, OFF_OUTPUT, OFF_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def once_each(fixes: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Drops fixes that a feed serves again, within the watermark on ``ts``."""
     return fixes.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["vehicle_id", "ts"])

@@ -20,6 +20,8 @@ def test_defined_cases(spark):
     got = {r["doc_id"]: r for r in identify(spark.createDataFrame(rows, "doc_id long, text string, score string"), *model).collect()}
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == [UNDETERMINED] * 3 and got[1]["score"] == 0
     assert got[4]["lang_pred"] != UNDETERMINED and got[5]["lang_pred"] == "en" and got[5]["score"] > 0.9
+    numerals = spark.createDataFrame([(1, "½ ² ³ ½"), (2, "Ⅷ"), (3, "½ é")], "doc_id long, text string")
+    assert [r["lang_pred"] == UNDETERMINED for r in identify(numerals, *model).orderBy("doc_id").collect()] == [True, True, False]
     none = identify(spark.createDataFrame(rows, "doc_id long, text string, score string"), *fit_documents(docs.limit(0)))
     assert {r["lang_pred"] for r in none.collect()} == {UNDETERMINED}
     en, fr = (docs.where(f"lang = '{x}'").orderBy(F.length("text").desc()).first()["text"] for x in ("en", "fr"))

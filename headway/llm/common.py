@@ -20,6 +20,7 @@ SIMILARITY = 0.75
 #: Bytes of text that one NumPy step handles; its temporary arrays take about 60 times as much.
 CHUNK_BYTES = 1 << 20
 _OWN_ROOT: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_root(spark: SparkSession) -> str:
@@ -36,10 +37,18 @@ def work_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner true sizes."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, and gives the planner true sizes.
+
+    Spark deletes the write's shuffle files at its end, as nothing else can read them, instead of at some later collection of garbage.
+    """
     spark = df.sparkSession
     path = f"{work_root(spark)}/headway-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -173,7 +182,7 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
 
     Alternates large stars and small stars, so that a chain of n nodes takes about log n rounds and no node's
     neighbours are ever gathered in one place: minima are aggregated before the shuffle and joined back. Each round
-    is written out. Nodes without links are absent; loops and repeated links don't matter.
+    is written out. Nodes without links are absent; loops and repeated links don't matter. ``discard`` takes the result.
     """
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     edges = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
@@ -193,4 +202,6 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 60) ->
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+    out = edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+    out.written_to = edges.written_to
+    return out

@@ -9,14 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.llm.common import components, materialize, mix64, shingles, text_chunks
+from headway.llm.common import components, discard, materialize, mix64, shingles, text_chunks
 
 #: Documents link at 100 I >= 75 U, that is 7 I >= 3 (A + B): their sets then differ in (A + B) / 7 shingles at most.
 OVERLAP, OF_BOTH = 7, 3
 #: What a signature of a single shingle costs, in signatures of several: it meets every set that has the shingle.
 SINGLE_COST = 4.0
 #: Ids up to which a list of documents is broadcast to filter the texts; a longer one is joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 
 
 class Plan:
@@ -191,7 +191,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, label: str) -> DataFrame:
     known = _having(texts, ids)
     right = pairs.join(known.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     whole = right.join(known.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialize(whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), f"{label}-links")
+    links = materialize(whole.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), f"{label}-links")
+    discard(pairs, ids)
+    return links
 
 
 def _size(info: str):
@@ -214,18 +216,45 @@ def _rarest(met: DataFrame) -> DataFrame:
 
     Cost-based allocation: of two linked sets' shared signatures either side leaves out the most frequent first, so
     both leave out the same ones. A set with fewer shared signatures than it needs has no partner, and goes.
+
+    ``pop`` sums how often a set's signatures occur: the least altered copy of a group has the greatest sum.
     """
     often = met.groupBy("sig").agg(F.count("*").alias("f"))
-    of_set = Window.partitionBy("id", F.shiftright("info", BAND_AT)).orderBy(F.desc("f"), "sig")
-    ranked = met.join(often, "sig").withColumn("rank", F.row_number().over(of_set))
-    return ranked.where((F.shiftright("info", BAND_AT) == PREFIX) | (F.col("rank") > _need("info") - F.least(_need("info"), F.lit(LEAST_SHARED)))).select("sig", "id", "info")
+    of_set = Window.partitionBy("id", F.shiftright("info", BAND_AT))
+    ranked = met.join(often, "sig").withColumn("rank", F.row_number().over(of_set.orderBy(F.desc("f"), "sig"))).withColumn("pop", F.sum("f").over(of_set))
+    return ranked.where((F.shiftright("info", BAND_AT) == PREFIX) | (F.col("rank") > _left_out("info"))).select("sig", "id", "info", "pop")
+
+
+def _left_out(info: str):
+    """How many of a set's most frequent signatures it leaves out."""
+    return _need(info) - F.least(_need(info), F.lit(LEAST_SHARED))
+
+
+def _pair_need():
+    """Kept signatures that two linked sets of just these sizes share at least.
+
+    ``need`` allows for the largest partner; less may differ from one of this size, but where ``need`` is 1, which may
+    stand for less, or segments may be one shingle apart. A shared signature that isn't kept is among those that the
+    side which leaves out more has left out, as both rank by frequency alike.
+    """
+    band = F.shiftright("info_a", BAND_AT)
+    high = F.call_function("shiftleft", F.lit(2).cast("long"), band.cast("int")) - 1
+    fewest = F.least(F.greatest(_need("info_a"), _need("info_b")), F.lit(LEAST_SHARED))
+
+    def segments(info: str):
+        n = _size(info)
+        differ = F.floor((n + F.when(n > high, high).otherwise(F.floor(4 * n / 3))) / OVERLAP)
+        return F.when(_need(info) > 1, _need(info) + differ).otherwise(0)
+
+    exact = F.greatest(segments("info_a"), segments("info_b")) - F.floor((_size("info_a") + _size("info_b")) / OVERLAP) - F.greatest(_left_out("info_a"), _left_out("info_b"))
+    return F.when(band.isin([b for b in range(40) if Plan(b).deletions]), fewest).otherwise(F.greatest(fewest, exact))
 
 
 def _likely(pairs: DataFrame, share: float) -> DataFrame:
     """``a, b`` of ``pairs(a, b, info_a, info_b)``, a row for each kept signature shared, with that share of those needed."""
     pairs = pairs.where(_fits("info_a", "info_b"))
     prefix = F.shiftright("info_a", BAND_AT) == PREFIX
-    counted = pairs.groupBy("a", "b").agg(F.count_if(~prefix).alias("n"), F.max(F.when(~prefix, F.least(F.greatest(_need("info_a"), _need("info_b")), F.lit(LEAST_SHARED)))).alias("need"), F.max(prefix).alias("by_prefix"))
+    counted = pairs.groupBy("a", "b").agg(F.count_if(~prefix).alias("n"), F.max(F.when(~prefix, _pair_need())).alias("need"), F.max(prefix).alias("by_prefix"))
     return counted.where(F.col("by_prefix") | (F.col("n") >= share * F.col("need"))).select("a", "b")
 
 
@@ -233,9 +262,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
     Documents with the same set are one class, of which the least doc_id is signed. A signature's members first
-    meet one of them, chosen by hash, and another in each of a few rounds; only those that then still lie in different
-    components are paired with each other, and verified if they share as many signatures as linked sets must. So a group of copies costs a star, and no link
-    between different texts is lost: the result is exact.
+    meet the one whose signatures occur most often, which in a group of altered copies is the one least altered; then
+    another, chosen by hash, in each of a few rounds; only those that then still lie in different components are paired
+    with each other, and verified if they share as many signatures as linked sets of their sizes must. So a group of
+    copies costs a star, and no link between different texts is lost: the result is exact.
 
     Null and empty texts have no shingles and link with nothing; a row with a null doc_id neither; rows that share a
     doc_id are one node.
@@ -251,28 +281,35 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     met = signed.select("sig", "id", "info", F.lag("id").over(by_sig).alias("before"), F.lead("id").over(by_sig).alias("next"))
     met = materialize(met.where("before IS NOT NULL OR next IS NOT NULL").select("sig", "id", "info"), "shared-signatures")
     kept = materialize(_rarest(met), "kept-signatures")
-    links, tested = None, None
+    discard(met)
+    links, tested, reach, stars = None, None, None, []
     crowd = kept.withColumn("c", F.col("id"))
     for n in range(STARS):
-        least = crowd.groupBy("sig").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("h"), "id", "info", "c")).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
-        least = least.select("sig", F.col("m.id").alias("a"), F.col("m.info").alias("info_a"), F.col("m.c").alias("c_a"))
-        star = crowd.join(least, "sig").where("c <> c_a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "info_a", F.col("info").alias("info_b"))
+        first = F.col("pop") if n == 0 else F.xxhash64("id", F.lit(n))
+        centre = crowd.groupBy("sig").agg(F.max(F.struct(first.alias("h"), "id", "info", "c")).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
+        centre = centre.select("sig", F.col("m.id").alias("a"), F.col("m.info").alias("info_a"), F.col("m.c").alias("c_a"))
+        star = crowd.join(centre, "sig").where("c <> c_a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "info_a", F.col("info").alias("info_b"))
         star = _likely(star, 0.5)
         star = materialize(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), f"star{n}-candidates")
         new = _linked(star, texts, f"star{n}")
         links, tested = (new, star) if n == 0 else (links.unionByName(new), tested.unionByName(star))
+        stars += [star, new]
+        discard(reach)
         reach = components(links, f"star{n}-components")
-        crowd = materialize(kept.join(reach, "id", "left").select("sig", "id", "info", F.coalesce("component", "id").alias("c")), f"star{n}-signatures")
+        before, crowd = crowd, materialize(kept.join(reach, "id", "left").select("sig", "id", "info", "pop", F.coalesce("component", "id").alias("c")), f"star{n}-signatures")
+        discard(before)
         if new.isEmpty():
             break
+    discard(kept, reach)
     mixed = crowd.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("sig")
-    crowd = crowd.join(mixed, "sig")
-    other = crowd.select("sig", F.col("id").alias("b"), F.col("info").alias("info_b"), F.col("c").alias("c_b"))
-    cross = crowd.join(other, "sig").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("c_b")) & _fits("info", "info_b"))
+    mixed = crowd.join(mixed, "sig")
+    other = mixed.select("sig", F.col("id").alias("b"), F.col("info").alias("info_b"), F.col("c").alias("c_b"))
+    cross = mixed.join(other, "sig").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("c_b")) & _fits("info", "info_b"))
     cross = _likely(cross.select(F.col("id").alias("a"), "b", F.col("info").alias("info_a"), "info_b"), 1.0).join(tested, ["a", "b"], "left_anti")
     crossed = _linked(cross, texts, "cross")
     reach = components(links.unionByName(crossed), "jaccard-components")
     solved = materialize(classes.join(reach, classes["rep"] == reach["id"], "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "jaccard-solved")
+    discard(crowd, crossed, reach, classes, *stars)
     linked = digest.where("n_shingles > 0").join(solved, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return linked.unionByName(digest.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -217,12 +217,14 @@ def _rarest(met: DataFrame) -> DataFrame:
     Cost-based allocation: of two linked sets' shared signatures either side leaves out the most frequent first, so
     both leave out the same ones. A set with fewer shared signatures than it needs has no partner, and goes.
 
-    ``pop`` sums how often a set's signatures occur: the least altered copy of a group has the greatest sum.
+    ``pop`` sums how often a set's signatures occur: the least altered copy of a group has the greatest sum. ``front``
+    numbers the kept signatures from the most frequent one, ``rest`` counts those that follow.
     """
     often = met.groupBy("sig").agg(F.count("*").alias("f"))
     of_set = Window.partitionBy("id", F.shiftright("info", BAND_AT))
     ranked = met.join(often, "sig").withColumn("rank", F.row_number().over(of_set.orderBy(F.desc("f"), "sig"))).withColumn("pop", F.sum("f").over(of_set))
-    return ranked.where((F.shiftright("info", BAND_AT) == PREFIX) | (F.col("rank") > _left_out("info"))).select("sig", "id", "info", "pop")
+    ranked = ranked.withColumn("rest", (F.count("*").over(of_set) - F.col("rank")).cast("int")).withColumn("front", (F.col("rank") - _left_out("info")).cast("int"))
+    return ranked.where((F.shiftright("info", BAND_AT) == PREFIX) | (F.col("front") > 0)).select("sig", "id", "info", "pop", "front", "rest")
 
 
 def _left_out(info: str):
@@ -250,9 +252,15 @@ def _pair_need():
     return F.when(band.isin([b for b in range(40) if Plan(b).deletions]), fewest).otherwise(F.greatest(fewest, exact))
 
 
+def _can_share():
+    """Whether two sets that meet at a signature can share as many as they need: those before it and after it bound the number."""
+    most = F.least("front_a", "front_b") + F.least("rest_a", "rest_b")
+    return _fits("info_a", "info_b") & ((F.shiftright("info_a", BAND_AT) == PREFIX) | (most >= _pair_need()))
+
+
 def _likely(pairs: DataFrame, share: float) -> DataFrame:
-    """``a, b`` of ``pairs(a, b, info_a, info_b)``, a row for each kept signature shared, with that share of those needed."""
-    pairs = pairs.where(_fits("info_a", "info_b"))
+    """``a, b`` of ``pairs``, a row for each kept signature shared with both sides' info, front and rest, with that share of those needed."""
+    pairs = pairs.where(_can_share())
     prefix = F.shiftright("info_a", BAND_AT) == PREFIX
     counted = pairs.groupBy("a", "b").agg(F.count_if(~prefix).alias("n"), F.max(F.when(~prefix, _pair_need())).alias("need"), F.max(prefix).alias("by_prefix"))
     return counted.where(F.col("by_prefix") | (F.col("n") >= share * F.col("need"))).select("a", "b")
@@ -286,9 +294,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     crowd = kept.withColumn("c", F.col("id"))
     for n in range(STARS):
         first = F.col("pop") if n == 0 else F.xxhash64("id", F.lit(n))
-        centre = crowd.groupBy("sig").agg(F.max(F.struct(first.alias("h"), "id", "info", "c")).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
-        centre = centre.select("sig", F.col("m.id").alias("a"), F.col("m.info").alias("info_a"), F.col("m.c").alias("c_a"))
-        star = crowd.join(centre, "sig").where("c <> c_a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "info_a", F.col("info").alias("info_b"))
+        centre = crowd.groupBy("sig").agg(F.max(F.struct(first.alias("h"), "id", "info", "c", "front", "rest")).alias("m"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2")
+        centre = centre.select("sig", F.col("m.id").alias("a"), *(F.col(f"m.{x}").alias(f"{x}_a") for x in ("info", "c", "front", "rest")))
+        star = crowd.join(centre, "sig").where("c <> c_a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"), "info_a", "front_a", "rest_a", *(F.col(x).alias(f"{x}_b") for x in ("info", "front", "rest")))
         star = _likely(star, 0.5)
         star = materialize(star if tested is None else star.join(tested, ["a", "b"], "left_anti"), f"star{n}-candidates")
         new = _linked(star, texts, f"star{n}")
@@ -296,16 +304,16 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         stars += [star, new]
         discard(reach)
         reach = components(links, f"star{n}-components")
-        before, crowd = crowd, materialize(kept.join(reach, "id", "left").select("sig", "id", "info", "pop", F.coalesce("component", "id").alias("c")), f"star{n}-signatures")
+        before, crowd = crowd, materialize(kept.join(reach, "id", "left").select("sig", "id", "info", "pop", "front", "rest", F.coalesce("component", "id").alias("c")), f"star{n}-signatures")
         discard(before)
         if new.isEmpty():
             break
     discard(kept, reach)
     mixed = crowd.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("sig")
     mixed = crowd.join(mixed, "sig")
-    other = mixed.select("sig", F.col("id").alias("b"), F.col("info").alias("info_b"), F.col("c").alias("c_b"))
-    cross = mixed.join(other, "sig").where((F.col("id") < F.col("b")) & (F.col("c") != F.col("c_b")) & _fits("info", "info_b"))
-    cross = _likely(cross.select(F.col("id").alias("a"), "b", F.col("info").alias("info_a"), "info_b"), 1.0).join(tested, ["a", "b"], "left_anti")
+    side = lambda x: mixed.select("sig", F.col("id").alias(x), *(F.col(v).alias(f"{v}_{x}") for v in ("info", "front", "rest", "c")))
+    cross = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
+    cross = _likely(cross, 1.0).join(tested, ["a", "b"], "left_anti")
     crossed = _linked(cross, texts, "cross")
     reach = components(links.unionByName(crossed), "jaccard-components")
     solved = materialize(classes.join(reach, classes["rep"] == reach["id"], "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "jaccard-solved")

@@ -10,6 +10,7 @@ from headway.llm.lang_id import op8_language_id
 from headway.llm.license_scan import op10_license_scan
 from headway.llm.line_dedup import op2_line_dedup
 from headway.llm.mixing import OP7_SQL, op7_mixing
+from headway.llm.periodic_runs import op12_periodic_runs
 from headway.llm.pii import op1_pii
 from headway.llm.suffix_dedup import op3_suffix_array_dedup
 
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_license_scan": op10_license_scan,
     "op9_decontamination": op9_decontamination,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 SQL = {"op4_ngram_jaccard_join": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}

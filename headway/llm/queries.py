@@ -12,6 +12,7 @@ from headway.llm.line_dedup import op2_line_dedup
 from headway.llm.mixing import OP7_SQL, op7_mixing
 from headway.llm.periodic_runs import op12_periodic_runs
 from headway.llm.pii import op1_pii
+from headway.llm.spelling import op13_spelling_variants
 from headway.llm.suffix_dedup import op3_suffix_array_dedup
 
 QUERIES = {
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
     "op9_decontamination": op9_decontamination,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL = {"op4_ngram_jaccard_join": OP4_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_mixing": OP7_SQL, "op9_decontamination": OP9_SQL}

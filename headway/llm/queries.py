@@ -14,6 +14,7 @@ from headway.llm.periodic_runs import op12_periodic_runs
 from headway.llm.pii import op1_pii
 from headway.llm.spelling import op13_spelling_variants
 from headway.llm.suffix_dedup import op3_suffix_array_dedup
+from headway.llm.toxicity import op11_toxicity
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op10_license_scan": op10_license_scan,
     "op9_decontamination": op9_decontamination,
+    "op11_toxicity": op11_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_spelling_variants": op13_spelling_variants,
 }

@@ -43,9 +43,9 @@ def arrival_times(now: Column, seconds: Column) -> Column:
 
 
 def horizon_value(table: Column, horizon: Column) -> Column:
-    """A table's value at a horizon; beyond its longest, that of the longest; null below its shortest."""
-    longest = F.array_max(F.map_keys(table))
-    return F.try_element_at(table, F.least(horizon, longest))
+    """A table's value at a horizon; where it has none, that of its longest horizon; null below its shortest."""
+    keys = F.map_keys(table)
+    return F.coalesce(F.try_element_at(table, horizon), F.when(horizon >= F.array_min(keys), F.try_element_at(table, F.array_max(keys))))
 
 
 def at_first_stop(dist_m: Column, off_m: Column, first_stop_m: Column) -> Column:

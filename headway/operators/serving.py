@@ -77,7 +77,8 @@ def with_dwell(rows: DataFrame, table: DataFrame) -> DataFrame:
 def with_bias(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """Adds ``bias_sec`` at ``stops_ahead``: by the table of the kind of day, else the ``flat`` one, else 0.
 
-    ``tables(kind, stops_ahead, bias_sec)`` with kinds ``weekday``, ``weekend`` and ``flat``; a table's last value holds beyond it.
+    ``tables(kind, stops_ahead, bias_sec)`` with kinds ``weekday``, ``weekend`` and ``flat``. A table's value at its longest
+    horizon holds beyond it and in its gaps; below its shortest there is no correction.
     """
     maps = tables.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("stops_ahead", "bias_sec"))).alias("m"))
     chosen = maps.groupBy().agg(*(F.first(F.when(F.col("kind") == k, F.col("m")), ignorenulls=True).alias(k) for k in ("weekday", "weekend", "flat")))
@@ -85,10 +86,12 @@ def with_bias(rows: DataFrame, tables: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(chosen), how="left").withColumn("bias_sec", F.coalesce(horizon_value(kind, F.col("stops_ahead")), F.lit(0))).drop("weekday", "weekend", "flat")
 
 
-def nearest_shape(candidates: DataFrame, keys: list[str], beyond: float = K.MAX_DIST_M) -> DataFrame:
-    """``keys, off_m``: how far a fix is from its matched trip, or where that is farther than ``beyond``, from the nearest candidate shape.
+def nearest_shape(fixes: DataFrame, candidates: DataFrame, keys: list[str], beyond: float = K.MAX_DIST_M) -> DataFrame:
+    """``keys, off_m``: how far a fix is from its matched trip, or where that is farther than ``beyond`` or there is none,
+    from the nearest of that trip and the candidate shapes.
 
-    ``candidates(keys, off_m, matched_off_m)``.
+    ``fixes(keys, matched_off_m)``, ``candidates(keys, off_m)``. Each fix stays; without trip and candidates ``off_m`` is null.
     """
-    least = candidates.groupBy(*keys).agg(F.min("off_m").alias("least"), F.first("matched_off_m", ignorenulls=True).alias("own"))
-    return least.select(*keys, F.when(F.col("own") <= beyond, F.col("own")).otherwise(F.col("least")).alias("off_m"))
+    least = candidates.groupBy(*keys).agg(F.min("off_m").alias("least"))
+    own = F.col("matched_off_m")
+    return fixes.join(least, keys, "left").select(*keys, F.when(own <= beyond, own).otherwise(F.least(own, F.col("least"))).alias("off_m"))

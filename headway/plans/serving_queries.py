@@ -69,7 +69,7 @@ def dwell_lookup(spark, sf_dir):
 def bias_lookup(spark, sf_dir):
     tables = spark.createDataFrame([("weekend", 1, 10), ("weekend", 2, 20), ("flat", 2, 5), ("flat", 5, 15)], "kind string, stops_ahead int, bias_sec int")
     rows = B.read(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("service_date"), (F.col("o_custkey") % 12).cast("int").alias("stops_ahead"))
-    # the flat table has no value at 3 and 4: such a row has no correction
+    # the flat table has no value at 3 and 4: that of its longest horizon holds there
     return SV.with_bias(rows, tables)
 
 
@@ -177,12 +177,12 @@ def chord_tangents(spark, sf_dir):
 
 
 def nearest_shapes(spark, sf_dir):
-    """The distance from the vehicle's own shape, or where that is far, from the nearest of three."""
+    """The distance from the vehicle's own shape, or where that is far, from the nearest of it and two candidates."""
     p = S._points(spark, sf_dir)
     own = SH.project(p, S._shapes(spark), ["vehicle_id", "seq"]).select("vehicle_id", "seq", F.col("off_m").alias("matched_off_m"))
-    others = p.withColumn("shape_id", F.explode(F.array(*(((F.col("shape_id").cast("int") + i) % 25).cast("string") for i in range(3)))))
+    others = p.withColumn("shape_id", F.explode(F.array(*(((F.col("shape_id").cast("int") + i) % 25).cast("string") for i in (1, 2)))))
     near = SH.project(others, S._shapes(spark), ["vehicle_id", "seq"]).select("vehicle_id", "seq", "off_m")
-    return SV.nearest_shape(near.join(own, ["vehicle_id", "seq"]), ["vehicle_id", "seq"])
+    return SV.nearest_shape(own, near, ["vehicle_id", "seq"])
 
 
 _QUERIES = {
@@ -204,7 +204,7 @@ _SQL = {
     "terminus_predictions": with_(*SERVED) + "SELECT vehicle_id, trip_id, seq, stop_id, stop_sequence, stops_ahead::INT AS stops_ahead, until_departure + cum_sec AS seconds FROM leaves WHERE off_m <= 150 AND abs(dist_m) <= 50 AND until_departure IS NOT NULL",
     "trip_delay": with_(*SERVED) + "SELECT vehicle_id, trip_id, seq, CASE WHEN route_type IN (0, 11) THEN trunc(t + (stop_dist_m - dist_m) / 5.0::DOUBLE - (t - departure_sec % 700 + cum_sec))::INT END AS delay_sec FROM ahead WHERE stops_ahead = 1",
     "dwell_lookup": "SELECT o_orderkey, (o_orderkey % 13)::INT AS route_type, CASE o_orderkey % 13 WHEN 0 THEN 32 WHEN 3 THEN 27 ELSE 28 END::INT AS dwell_sec FROM orders",
-    "bias_lookup": """SELECT o_orderkey, o_orderdate::DATE AS service_date, h AS stops_ahead, CASE WHEN isodow(o_orderdate) >= 6 THEN CASE WHEN h = 0 THEN 0 WHEN h = 1 THEN 10 ELSE 20 END ELSE CASE WHEN h = 2 THEN 5 WHEN h >= 5 THEN 15 ELSE 0 END END::INT AS bias_sec
+    "bias_lookup": """SELECT o_orderkey, o_orderdate::DATE AS service_date, h AS stops_ahead, CASE WHEN isodow(o_orderdate) >= 6 THEN CASE WHEN h = 0 THEN 0 WHEN h = 1 THEN 10 ELSE 20 END ELSE CASE WHEN h = 2 THEN 5 WHEN h > 2 THEN 15 ELSE 0 END END::INT AS bias_sec
         FROM (SELECT *, (o_custkey % 12)::INT AS h FROM orders)""",
     "serving_rules": with_(B.FIXES_SQL, VEHICLES_SQL.split("timed AS")[0].rstrip().rstrip(","))
     + """SELECT vehicle_id, seq, there AS at_first_stop, source, CASE source WHEN 'schedule' THEN 150 WHEN 'idle' THEN 400 ELSE CASE seq % 6 WHEN 0 THEN NULL WHEN 1 THEN 20 WHEN 2 THEN 35 ELSE 60 END END::INT AS band_sec,

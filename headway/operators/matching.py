@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from headway import constants as K
 from headway.functions.geo import bearing_diff
-from headway.operators import shapes
+from headway.operators import schedule, shapes
 
 
 def match_shapes(fixes: DataFrame, trips: DataFrame, segs: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def trip_score(off_m: Column, diff: Column, along_m: Column, expected_m: Column,
     """Weighed distance, heading and progress; half marks for what is unknown. Batch: infinite beyond MAX_DIST_M; live: the distance counts 5 at most."""
     near = off_m / K.MAX_DIST_M
     heading = F.coalesce(diff / 180.0, F.lit(0.5))
-    progress = F.coalesce(F.least(F.abs(along_m - expected_m) / F.greatest(length_m, F.lit(1.0)), F.lit(1.0)), F.lit(0.5))
+    share = F.abs(along_m - expected_m) / F.greatest(length_m, F.lit(1.0))
+    progress = F.when(share.isNotNull(), F.least(share, F.lit(1.0))).otherwise(0.5)  # least() would pass over a null
     score = lambda d: K.SPATIAL_WEIGHT * d + K.BEARING_WEIGHT * heading + K.PROGRESS_WEIGHT * progress
     if profile == "live":
         return score(F.least(near, F.lit(5.0)))
@@ -55,6 +56,50 @@ def trusted(rows: DataFrame, profile: str = "batch") -> DataFrame:
     return own.where(F.col("off_m") < K.FAST_PATH_DIST_M)
 
 
+def believable(off_m: Column, diff: Column, profile: str = "batch") -> Column:
+    """Whether a fix so far from its reported trip's shape, and so turned against it, is that trip's without asking others."""
+    if profile == "live":
+        return (off_m < K.TRUST_DIST_M) & (F.coalesce(diff, F.lit(0.0)) <= K.TRUST_BEARING_DEG)
+    return off_m < K.FAST_PATH_DIST_M
+
+
+def match_fixes(fixes: DataFrame, trips: DataFrame, segs: DataFrame, services: DataFrame, times: DataFrame, profile: DataFrame, mode: str = "batch") -> DataFrame:
+    """``vehicle_id, seq, path, trip_id, off_m, bearing_diff, score, min_off_m``: one row for each fix, whatever becomes of it.
+
+    ``fixes(vehicle_id, seq, route_id, x, y, bearing, reported_trip_id, day, now_sec)``, keyed by vehicle and seq;
+    ``trips(trip_id, route_id, shape_id, service_id)``, ``services(day, service_id)``, ``times(trip_id, first_sec,
+    last_sec)``, ``profile(trip_id, dist_m, cum_sec)``. ``path`` says how a fix went:
+
+    ``unplaced``: without route or place; it meets no geometry at all. ``reported``: its reported trip is known and
+    believable (``mode`` live: and in service that day), so it leaves before any candidate is joined. ``matched``: the
+    best of the route's trips in service (batch: that run at ``now_sec``), of equals the first by id. ``unmatched``: no
+    candidate, or in batch mode none within MAX_DIST_M; then ``min_off_m`` still has the nearest candidate's distance.
+    """
+    keys = ["vehicle_id", "seq"]
+    placed = fixes.where("coalesce(route_id, '') <> '' AND x IS NOT NULL AND y IS NOT NULL")
+    ways = trips.select("trip_id", "shape_id", "service_id", "route_id")
+    own = placed.join(ways.select(F.col("trip_id").alias("reported_trip_id"), "shape_id", "service_id"), "reported_trip_id")
+    if mode == "live":
+        own = own.join(services, ["day", "service_id"], "left_semi")
+    at = shapes.project_within(own.select(*keys, "shape_id", "x", "y"), segs, keys, K.TRUST_DIST_M)
+    near = own.select(*keys, "reported_trip_id", "bearing").join(at, keys).withColumn("bearing_diff", bearing_diff(F.col("bearing"), F.col("tangent")))
+    sure = near.where(believable(F.col("off_m"), F.col("bearing_diff"), mode)).select(*keys, F.lit("reported").alias("path"), F.col("reported_trip_id").alias("trip_id"), "off_m", "bearing_diff", (F.col("off_m") / K.MAX_DIST_M).alias("score"), F.col("off_m").alias("min_off_m"))
+
+    rest = placed.join(sure, keys, "left_anti")
+    serving = ways.join(services, "service_id").join(times, "trip_id", "left")
+    asked = rest.join(serving.drop("service_id"), ["route_id", "day"])
+    if mode == "batch":
+        asked = schedule.running(asked, F.col("now_sec")).where("running").drop("running")
+    asked = schedule.distance_at(asked.withColumn("elapsed_sec", schedule.elapsed(F.col("now_sec"), F.col("first_sec"), F.col("last_sec"))), profile)
+    pairs = asked.select(*keys, "shape_id", "x", "y").distinct()  # a route has many trips over few shapes
+    met = asked.join(shapes.project(pairs, segs, keys), [*keys, "shape_id"])
+    best = best_trip(scored(met, shapes.lengths(segs), mode), keys)
+    found = F.col("trip_id").isNotNull()
+    chosen = best.select(*keys, F.when(found, "matched").otherwise("unmatched").alias("path"), "trip_id", *(F.when(found, F.col(c)).alias(c) for c in ("off_m", "bearing_diff", "score")), "min_off_m")
+    told = fixes.select(*keys, (F.coalesce("route_id", F.lit("")) != "").alias("routed"), (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("located")).join(sure.unionByName(chosen), keys, "left")
+    return told.withColumn("path", F.coalesce("path", F.when(F.col("routed") & F.col("located"), "unmatched").otherwise("unplaced"))).drop("routed", "located")
+
+
 def with_hysteresis(rows: DataFrame) -> DataFrame:
     """``vehicle_id, seq, trip_id, score, off_m, high_confidence``: per fix the trusted or best candidate, unless the
     trip before still fits: within 150 m and no farther off than the new one.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions import clock
@@ -58,6 +58,13 @@ def distance_at(rows: DataFrame, profile: DataFrame, seconds: str = "elapsed_sec
     return _interpolated(rows, profile, seconds, "cum_sec", "dist_m", "expected_m")
 
 
+def elapsed(now_sec: Column, first_sec: Column, last_sec: Column) -> Column:
+    """Seconds since a trip's first time. A trip that ends after midnight is under way in the small hours: there ``now_sec``
+    (of the local day) counts on from 24:00 where it is over half a day before the trip's start."""
+    now = F.when((last_sec >= 86_400) & (now_sec < first_sec - 43_200), now_sec + 86_400).otherwise(now_sec)
+    return (now - first_sec).cast("double")
+
+
 def bounds(stop_times: DataFrame) -> DataFrame:
     """``trip_id, first_sec, last_sec`` of the service day; null where the end stops' times don't parse."""
     sec = lambda a, b: F.coalesce(service_seconds(F.col(a)), service_seconds(F.col(b)))

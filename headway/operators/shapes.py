@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions import geo
+from headway.staging import written
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -30,11 +31,15 @@ def boxes(segs: DataFrame) -> DataFrame:
     return segs.groupBy("shape_id").agg(F.min(edge(F.least, "ax", "bx")).alias("x0"), F.min(edge(F.least, "ay", "by")).alias("y0"), F.max(edge(F.greatest, "ax", "bx")).alias("x1"), F.max(edge(F.greatest, "ay", "by")).alias("y1"))
 
 
+def _placed(met: DataFrame) -> DataFrame:
+    """Adds the distance and the distance along to rows of a point and a segment."""
+    share = geo.segment_share(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
+    return met.withColumn("share", share).withColumns({"off_m": F.hypot(F.col("x") - (F.col("ax") + F.col("share") * (F.col("bx") - F.col("ax"))), F.col("y") - (F.col("ay") + F.col("share") * (F.col("by") - F.col("ay")))), "along_m": F.col("start_m") + F.col("share") * F.col("len_m")})
+
+
 def _near(points: DataFrame, segs: DataFrame) -> DataFrame:
     """Each point with each segment of its shape: the distance and the distance along."""
-    args = [F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")]
-    share = geo.segment_share(*args)
-    return points.join(segs, "shape_id").withColumn("share", share).withColumns({"off_m": F.hypot(F.col("x") - (F.col("ax") + F.col("share") * (F.col("bx") - F.col("ax"))), F.col("y") - (F.col("ay") + F.col("share") * (F.col("by") - F.col("ay")))), "along_m": F.col("start_m") + F.col("share") * F.col("len_m")})
+    return _placed(points.join(segs, "shape_id"))
 
 
 def project(points: DataFrame, segs: DataFrame, keys: list[str]) -> DataFrame:
@@ -47,6 +52,64 @@ def project(points: DataFrame, segs: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, "shape_id", "b.off_m", "b.along_m", "b.tangent")
 
 
+def _cells(low, high, cell: float):
+    return F.sequence(F.floor(low / cell), F.floor(high / cell))
+
+
+def in_cells(segs: DataFrame, cell: float) -> DataFrame:
+    """``segs`` once for each square of ``cell`` metres that they touch: ``cx, cy``.
+
+    Of a segment's box only squares count whose centre is within half a diagonal of the segment.
+    """
+    at = segs.withColumn("cx", F.explode(_cells(F.least("ax", "bx"), F.greatest("ax", "bx"), cell))).withColumn("cy", F.explode(_cells(F.least("ay", "by"), F.greatest("ay", "by"), cell)))
+    centre = [(F.col(c) + 0.5) * cell for c in ("cx", "cy")]
+    return at.where(geo.segment_distance(*centre, *(F.col(c) for c in ("ax", "ay", "bx", "by"))) <= cell * 0.7072)
+
+
+def _best(near: DataFrame, keys: list[str]) -> DataFrame:
+    near = near.withColumn("tangent", geo.bearing(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    return near.groupBy(*keys, "shape_id").agg(F.min(F.struct("off_m", "seg", "along_m", "tangent")).alias("b")).select(*keys, "shape_id", "b.*")
+
+
+def _around(points: DataFrame, celled: DataFrame, reach, cell: float) -> DataFrame:
+    """Each point with the segments of its shape in the squares within ``reach`` (metres) of it; a segment once a square."""
+    searched = points.withColumn("cx", F.explode(_cells(F.col("x") - reach, F.col("x") + reach, cell))).withColumn("cy", F.explode(_cells(F.col("y") - reach, F.col("y") + reach, cell)))
+    return _placed(searched.join(celled, ["shape_id", "cx", "cy"]))
+
+
+def project_within(points: DataFrame, segs: DataFrame, keys: list[str], within: float, cell: float | None = None) -> DataFrame:
+    """As :func:`project` for the points that lie less than ``within`` from their shape; the others are left out.
+
+    A point meets the segments in the squares around it only, whatever the length of its shape.
+    """
+    cell = cell or max(within, 1.0)
+    return _best(_around(points, in_cells(segs, cell), within, cell), keys).where(F.col("off_m") < within).select(*keys, "shape_id", "off_m", "along_m", "tangent")
+
+
+def project_by_cells(points: DataFrame, segs: DataFrame, keys: list[str], cell: float = 500.0) -> DataFrame:
+    """As :func:`project`, by a grid: equal to it for every point, with fewer pairs of points and segments.
+
+    First a point meets the segments of its shape within one square's width. What it finds there is the nearest if it is
+    no farther than that width. Else it searches as far as what it has found, beyond which nothing can be nearer. A point that finds
+    nothing in the first round meets its whole shape. The first round is written, as the others start from it.
+    """
+    celled = in_cells(segs, cell)
+    points = points.where("x IS NOT NULL AND y IS NOT NULL")
+    first = written(points.join(_best(_around(points, celled, cell, cell), keys), [*keys, "shape_id"], "left"), "cells")
+    settled = first.where(F.col("off_m") <= cell)
+    wider = first.where(F.col("off_m") > cell).select(*keys, "shape_id", "x", "y", F.col("off_m").alias("bound"))
+    lost = first.where("off_m IS NULL").select(*keys, "shape_id", "x", "y")
+    names = [*keys, "shape_id", "off_m", "along_m", "tangent"]
+    return settled.select(*names).unionByName(_best(_around(wider, celled, F.col("bound"), cell), keys).select(*names)).unionByName(project(lost, segs, keys).select(*names))
+
+
+def cell_pairs(points: DataFrame, segs: DataFrame, keys: list[str], cell: float = 500.0) -> DataFrame:
+    """``n_points, n_pairs, n_all``: the pairs that the first round of :func:`project_by_cells` compares, and those of :func:`project`."""
+    met = _around(points.where("x IS NOT NULL AND y IS NOT NULL"), in_cells(segs, cell), cell, cell).agg(F.count("*").alias("n_pairs"))
+    every = points.join(segs.groupBy("shape_id").agg(F.count("*").alias("n")), "shape_id").agg(F.count("*").alias("n_points"), F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_all"))
+    return every.join(F.broadcast(met))
+
+
 def project_near(points: DataFrame, segs: DataFrame, keys: list[str], slack: float = 30.0) -> DataFrame:
     """As :func:`project`, for shapes that pass a place twice: of the segments within ``slack`` of the nearest, that whose
     distance along is closest to ``expected_m``; where that is null, the nearest."""

@@ -43,14 +43,15 @@ def accumulate_bias(live: DataFrame, residual: DataFrame, gain: float = 0.5, by:
     return both.select(*keys, F.bround(F.coalesce("l", F.lit(0.0)) + gain * F.col("r")).cast("long").alias("bias_sec"))
 
 
-def merge_bias(flat: DataFrame, live: DataFrame, residual: DataFrame, gain: float = 0.5) -> DataFrame:
+def merge_bias(flat: DataFrame, live: DataFrame, residual: DataFrame, gain: float = 0.5, kinds: tuple[str, ...] = ("weekday", "weekend")) -> DataFrame:
     """By kind of day: the accumulated correction where measured, else what is live, else the flat table.
 
-    ``flat(stops_ahead, bias_sec)``; ``live`` and ``residual`` have ``day`` too. Days are those of live and residual.
+    ``flat(stops_ahead, bias_sec)``; ``live`` and ``residual`` have ``day`` too, one of ``kinds``. Days are those of live and residual.
     """
     keys = ["day", "stops_ahead"]
     days = live.select("day").unionByName(residual.select("day")).distinct()
-    base = days.join(flat.select("stops_ahead", F.col("bias_sec").cast("long").alias("f")))
+    of_all = flat.select(F.explode(F.array(*map(F.lit, kinds))).alias("day"), "stops_ahead", F.col("bias_sec").cast("long").alias("f"))
+    base = of_all.join(days, "day", "left_semi")
     moved = accumulate_bias(live, residual, gain, ("day",)).withColumnRenamed("bias_sec", "m")
     out = base.join(live.select(*keys, F.col("bias_sec").cast("long").alias("l")), keys, "full").join(moved, keys, "full")
     return out.select(*keys, F.coalesce("m", "l", "f").alias("bias_sec"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from headway import constants as K
 from headway.functions.geo import bearing_diff
 from headway.operators import schedule, shapes
+from headway.operators.folds import folded
 
 
 def match_shapes(fixes: DataFrame, trips: DataFrame, segs: DataFrame) -> DataFrame:
@@ -110,10 +111,10 @@ def with_hysteresis(rows: DataFrame) -> DataFrame:
     runs = rows.groupBy("vehicle_id", "t", "seq").agg(F.array_sort(F.collect_list(F.struct("score", "trip_id", "off_m", "trusted"))).alias("c"))
     runs = runs.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "c"))).alias("f"))
     pick = "coalesce(try_element_at(filter(x.c, y -> y.trusted), 1), x.c[0])"
-    before = "try_element_at(filter(x.c, y -> y.trip_id = a.trip), 1)"
-    stays = f"NOT coalesce({pick}.trusted, false) AND a.trip IS NOT NULL AND {before}.off_m <= {K.HYSTERESIS_DIST_M} AND {before}.off_m <= CASE WHEN {pick}.score < double('inf') THEN {pick}.off_m ELSE double('inf') END"
+    before = "try_element_at(filter(x.c, y -> y.trip_id = s), 1)"
+    stays = f"NOT coalesce({pick}.trusted, false) AND s IS NOT NULL AND {before}.off_m <= {K.HYSTERESIS_DIST_M} AND {before}.off_m <= CASE WHEN {pick}.score < double('inf') THEN {pick}.off_m ELSE double('inf') END"
     chosen = f"CASE WHEN coalesce({stays}, false) THEN {before} ELSE {pick} END"
     found = f"CASE WHEN coalesce({stays}, false) OR {pick}.score < double('inf') THEN {chosen}.trip_id END"
-    fold = f"""aggregate(f, named_struct('trip', cast(null as string), 'out', cast(array() as array<struct<seq:bigint,trip_id:string,score:double,off_m:double>>)), (a, x) -> named_struct(
-        'trip', coalesce({found}, a.trip), 'out', concat(a.out, array(named_struct('seq', x.seq, 'trip_id', {found}, 'score', {chosen}.score, 'off_m', {chosen}.off_m)))), a -> a.out)"""
-    return runs.select("vehicle_id", F.inline(F.expr(fold))).withColumn("high_confidence", F.col("off_m") < K.MAX_DIST_M / 2)
+    out = f"named_struct('seq', x.seq, 'trip_id', {found}, 'score', {chosen}.score, 'off_m', {chosen}.off_m)"
+    kept = folded("f", "cast(null AS string)", f"coalesce({found}, s)", out, "struct<seq:bigint,trip_id:string,score:double,off_m:double>")
+    return runs.select("vehicle_id", F.inline(kept)).withColumn("high_confidence", F.col("off_m") < K.MAX_DIST_M / 2)

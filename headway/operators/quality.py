@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway import constants as K
+from headway.operators.folds import folded
 
 
 def day_statistics(positions: DataFrame, day: str = "service_date", low: int = 1000) -> DataFrame:
@@ -63,10 +64,9 @@ def collapse_guard(passes: DataFrame, least: int = 20, ratio: float = 0.3, by: s
     """
     keys = [by] if by else []
     runs = passes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pass_no", "n_entities"))).alias("f"))
-    ok = f"(a.prev IS NULL OR a.prev < {least} OR x.n_entities >= a.prev * {ratio})"
-    fold = f"""aggregate(f, named_struct('prev', cast(null as bigint), 'out', cast(array() as array<struct<pass_no:bigint,n_entities:bigint,published:boolean>>)), (a, x) -> named_struct(
-        'prev', CASE WHEN {ok} THEN x.n_entities ELSE a.prev END, 'out', concat(a.out, array(named_struct('pass_no', x.pass_no, 'n_entities', x.n_entities, 'published', {ok})))), a -> a.out)"""
-    return runs.select(*keys, F.inline(F.expr(fold)))
+    ok = f"(s IS NULL OR s < {least} OR x.n_entities >= s * {ratio})"
+    out = f"named_struct('pass_no', x.pass_no, 'n_entities', x.n_entities, 'published', {ok})"
+    return runs.select(*keys, F.inline(folded("f", "cast(null AS bigint)", f"IF({ok}, x.n_entities, s)", out, "struct<pass_no:bigint,n_entities:bigint,published:boolean>")))
 
 
 def horizon_fence(fixes: DataFrame, stops: DataFrame, max_ahead: int = K.MAX_STOPS_AHEAD) -> DataFrame:

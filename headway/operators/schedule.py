@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import clock
 from headway.functions.clock import service_seconds
+from headway.operators.asof import as_of
 
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
@@ -106,9 +107,11 @@ def instances(stop_times: DataFrame, trips: DataFrame, timezone: str) -> DataFra
     return stop_times.join(seen, "trip_id").select("trip_id", "stop_sequence", "start_date", "start_time", clock.service_instant(F.col("start_date"), F.col("sec"), timezone).alias("scheduled"))
 
 
-def latest_version(versions: DataFrame, days: DataFrame) -> DataFrame:
-    """``day, version``: the latest version of a schedule on or before each day, null without one."""
-    return days.join(versions.withColumnRenamed("day", "from_day"), F.col("from_day") <= F.col("day"), "left").groupBy("day").agg(F.max(F.struct("from_day", "version")).alias("v")).select("day", "v.version")
+def latest_version(versions: DataFrame, days: DataFrame, current: str | None = None) -> DataFrame:
+    """``day, version``: the latest version of a schedule on or before each day; before the first ``current``, the schedule
+    in force, which is null if not given. Two versions of one day: the greater."""
+    found = as_of(days.select("day"), versions.select("day", "version"), F.unix_date("day"), F.unix_date("day"), ["version"], block=64)
+    return found.select("day", F.coalesce("version", F.lit(current)).alias("version"))
 
 
 def baseline_eta(vehicles: DataFrame, stops: DataFrame, now: str = "t") -> DataFrame:

@@ -82,7 +82,7 @@ def project_within(points: DataFrame, segs: DataFrame, keys: list[str], within:
 
     A point meets the segments in the squares around it only, whatever the length of its shape.
     """
-    cell = cell or max(within, 1.0)
+    cell = cell or max(within, 500.0)
     return _best(_around(points, in_cells(segs, cell), within, cell), keys).where(F.col("off_m") < within).select(*keys, "shape_id", "off_m", "along_m", "tangent")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from headway import constants as K
+from headway.operators.folds import folded, folded_in_blocks
 
 TRAJECTORY = ("vehicle_id", "trip_id")
 
@@ -28,11 +29,10 @@ def stationary_seconds(fixes: DataFrame, eps: float = K.MOVE_EPS_M) -> DataFrame
     The anchor is a fold, not a lag: it moves only when the distance from it exceeds ``eps``. The fold runs over the
     sorted fixes of one trajectory, which a service day bounds.
     """
-    runs = fixes.groupBy(*TRAJECTORY).agg(F.array_sort(F.collect_list(F.struct("t", "seq", F.col("dist_m").alias("d")))).alias("f"))
-    fold = f"""aggregate(f, named_struct('t', f[0].t, 'd', f[0].d, 'out', cast(array() as array<struct<seq:bigint,s:double>>)), (a, x) ->
-        CASE WHEN x.d - a.d > {eps} THEN named_struct('t', x.t, 'd', x.d, 'out', concat(a.out, array(named_struct('seq', x.seq, 's', 0D))))
-             ELSE named_struct('t', a.t, 'd', a.d, 'out', concat(a.out, array(named_struct('seq', x.seq, 's', x.t - a.t)))) END, a -> a.out)"""
-    return runs.select(*TRAJECTORY, F.inline(F.expr(fold))).withColumnRenamed("s", "stationary_sec")
+    runs = fixes.groupBy(*TRAJECTORY).agg(F.sort_array(F.collect_list(F.struct("t", "seq", F.col("dist_m").alias("d")))).alias("f"))
+    moved = f"IF(x.d - s.d > {eps}, named_struct('t', x.t, 'd', x.d), s)"
+    still = folded("f", "named_struct('t', f[0].t, 'd', f[0].d)", moved, "named_struct('seq', x.seq, 's', x.t - n.t)", "struct<seq:bigint,s:double>")
+    return runs.select(*TRAJECTORY, F.inline(still)).withColumnRenamed("s", "stationary_sec")
 
 
 def with_stationary(fixes: DataFrame, eps: float = K.MOVE_EPS_M) -> DataFrame:
@@ -47,12 +47,11 @@ def constrained_progress(fixes: DataFrame, max_speed: float = K.MAX_VEHICLE_SPEE
     """
     fixes = fixes.where("dist_m IS NOT NULL")
     ahead = fixes.select(*TRAJECTORY, "t", "seq", "dist_m", F.lead("dist_m").over(along()).alias("next"))
-    runs = ahead.groupBy(*TRAJECTORY).agg(F.array_sort(F.collect_list(F.struct("t", "seq", F.col("dist_m").alias("d"), "next"))).alias("f"))
-    limit = f"a.d + {max_speed} * greatest(x.t - a.t, 0D)"
-    d = f"CASE WHEN a.d IS NULL THEN x.d WHEN x.d <= {limit} THEN greatest(x.d, a.d) WHEN x.next >= (a.d + x.d) / 2 THEN x.d ELSE greatest(least(x.d, {limit}), a.d) END"
-    fold = f"""aggregate(f, named_struct('t', cast(null as double), 'd', cast(null as double), 'out', cast(array() as array<struct<seq:bigint,d:double>>)),
-        (a, x) -> named_struct('t', x.t, 'd', {d}, 'out', concat(a.out, array(named_struct('seq', x.seq, 'd', {d})))), a -> a.out)"""
-    return runs.select(*TRAJECTORY, F.inline(F.expr(fold))).withColumnRenamed("d", "dist_m")
+    runs = ahead.groupBy(*TRAJECTORY).agg(F.sort_array(F.collect_list(F.struct("t", "seq", F.col("dist_m").alias("d"), "next"))).alias("f"))
+    limit = f"s.d + {max_speed} * greatest(x.t - s.t, 0D)"
+    d = f"CASE WHEN s.d IS NULL THEN x.d WHEN x.d <= {limit} THEN greatest(x.d, s.d) WHEN x.next >= (s.d + x.d) / 2 THEN x.d ELSE greatest(least(x.d, {limit}), s.d) END"
+    made = folded("f", "named_struct('t', cast(null AS double), 'd', cast(null AS double))", f"named_struct('t', x.t, 'd', {d})", "named_struct('seq', x.seq, 'd', n.d)", "struct<seq:bigint,d:double>")
+    return runs.select(*TRAJECTORY, F.inline(made)).withColumnRenamed("d", "dist_m")
 
 
 def nested_stops(stops: DataFrame) -> DataFrame:
@@ -141,19 +140,20 @@ def off_route_signals(fixes: DataFrame, off: float = K.OFF_ROUTE_DIST_M, on: flo
     return fixes.withColumn("looks_off", (F.col("off_m") > off) | F.coalesce(heading, F.lit(False)) | F.coalesce(away, F.lit(False)))
 
 
-def off_route_status(fixes: DataFrame, consecutive_off: int = K.OFF_ROUTE_CONSEC, consecutive_on: int = K.ON_ROUTE_CONSEC, on: float = K.ON_ROUTE_DIST_M, keys: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:
+def off_route_status(fixes: DataFrame, consecutive_off: int = K.OFF_ROUTE_CONSEC, consecutive_on: int = K.ON_ROUTE_CONSEC, on: float = K.ON_ROUTE_DIST_M, keys: tuple[str, ...] = ("vehicle_id",), block_sec: float = 86_400.0) -> DataFrame:
     """``keys, seq, t, off_route``: on turns off after three fixes that look off, off turns on after three near ones.
 
-    The signals are windows; the status is a fold with one counter over a vehicle's fixes. With ``trip_id`` among the
-    keys each trip starts on route, and a fold is no longer than a trip.
+    The signals are windows; the status is a fold over a status and one counter, a handful of states, so that a
+    vehicle's history is folded in blocks of ``block_sec`` and never gathered whole. With ``trip_id`` among the keys
+    each trip starts on route.
     """
-    runs = off_route_signals(fixes, keys=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "seq", "looks_off", (F.col("off_m") <= on).alias("near")))).alias("f"))
-    turns = f"CASE WHEN a.off THEN CASE WHEN x.near THEN a.n + 1 ELSE 0 END >= {consecutive_on} ELSE CASE WHEN x.looks_off THEN a.n + 1 ELSE 0 END >= {consecutive_off} END"
-    count = "CASE WHEN (a.off AND x.near) OR (NOT a.off AND x.looks_off) THEN a.n + 1 ELSE 0 END"
-    fold = f"""aggregate(f, named_struct('off', false, 'n', 0, 'out', cast(array() as array<struct<seq:bigint,t:double,off:boolean>>)), (a, x) -> named_struct(
-        'off', CASE WHEN {turns} THEN NOT a.off ELSE a.off END, 'n', CASE WHEN {turns} THEN 0 ELSE {count} END,
-        'out', concat(a.out, array(named_struct('seq', x.seq, 't', x.t, 'off', CASE WHEN {turns} THEN NOT a.off ELSE a.off END)))), a -> a.out)"""
-    return runs.select(*keys, F.inline(F.expr(fold))).withColumnRenamed("off", "off_route")
+    counts = max(consecutive_off, consecutive_on)
+    signal = f"IF(s >= {counts}, x.near, x.looks_off)"
+    full = f"s % {counts} + 1 >= IF(s >= {counts}, {consecutive_on}, {consecutive_off})"
+    step = f"CASE WHEN NOT coalesce({signal}, false) THEN s - s % {counts} WHEN {full} THEN IF(s >= {counts}, 0, {counts}) ELSE s + 1 END"
+    signals = off_route_signals(fixes, keys=keys).withColumn("near", F.col("off_m") <= on)
+    out = f"named_struct('seq', x.seq, 't', x.t, 'off_route', n >= {counts})"
+    return folded_in_blocks(signals, list(keys), F.floor(F.col("t") / block_sec), ["t", "seq"], ["looks_off", "near"], 2 * counts, step, out, "struct<seq:bigint,t:double,off_route:boolean>")
 
 
 def off_route_episodes(statuses: DataFrame) -> DataFrame:

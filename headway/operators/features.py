@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway import constants as K
+from headway.operators.quantiles import quantiles
 
 #: Order of the model's inputs; imported models count on it.
 FEATURES = (
@@ -40,9 +41,9 @@ def route_hour_priors(rows: DataFrame) -> DataFrame:
 
     Speeds count where positive. Cells without any get the global median, and the fallbacks where that is null too.
     """
-    speed = F.expr("percentile(CASE WHEN progress_speed_mps > 0 THEN progress_speed_mps END, 0.5)")
-    per_stop = F.expr("percentile(seconds_to_arrival / stops_ahead, 0.5)")
-    cells = rows.groupingSets([["route_id", "hour"], []], "route_id", "hour").agg(speed.alias("speed"), per_stop.alias("sec_per_stop"), F.grouping("route_id").alias("all"))
+    speed = F.when(F.col("progress_speed_mps") > 0, F.col("progress_speed_mps"))
+    found = quantiles(rows, [["route_id", "hour"], []], {"speed": speed, "sec_per_stop": F.col("seconds_to_arrival") / F.col("stops_ahead")}, [0.5])
+    cells = found.select("route_id", "hour", F.col("speed")[0].alias("speed"), F.col("sec_per_stop")[0].alias("sec_per_stop"), F.col("set").alias("all"))
     whole = cells.where("all = 1").select(F.coalesce("speed", F.lit(K.FALLBACK_SPEED_MPS)).alias("g_speed"), F.coalesce("sec_per_stop", F.lit(K.FALLBACK_SEC_PER_STOP)).alias("g_per_stop"))
     return cells.join(F.broadcast(whole)).select("route_id", "hour", F.coalesce("speed", "g_speed").alias("speed"), F.coalesce("sec_per_stop", "g_per_stop").alias("sec_per_stop"))
 

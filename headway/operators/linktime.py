@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway import constants as K
+from headway.operators.quantiles import quantiles
 
 SNAPSHOT = ("vehicle_id", "trip_id", "seq")
 
@@ -23,12 +24,11 @@ def link_observations(rows: DataFrame) -> DataFrame:
 
 
 def link_tables(links: DataFrame) -> DataFrame:
-    """``level, route_id, stop_id, hour, n, link_sec, link_m, link_mps``: exact medians on five sets of keys, in one pass."""
+    """``level, route_id, stop_id, hour, n, link_sec, link_m, link_mps``: exact medians on five sets of keys."""
     sets = [["route_id", "stop_id", "hour"], ["route_id", "stop_id"], ["stop_id"], ["route_id", "hour"], []]
-    med = lambda e, a: F.expr(f"percentile({e}, 0.5)").alias(a)
-    cells = links.groupingSets(sets, "route_id", "stop_id", "hour").agg(F.count("*").alias("n"), med("link_sec", "link_sec"), med("link_m", "link_m"), med("link_m / link_sec", "link_mps"), F.grouping_id().alias("g"))
-    level = F.when(F.col("g") == 0, "rsh").when(F.col("g") == 1, "rs").when(F.col("g") == 5, "s").when(F.col("g") == 2, "rh").otherwise("all")
-    return cells.select(level.alias("level"), "route_id", "stop_id", "hour", "n", "link_sec", "link_m", "link_mps")
+    found = quantiles(links, sets, {"link_sec": F.col("link_sec"), "link_m": F.col("link_m"), "link_mps": F.col("link_m") / F.col("link_sec")}, [0.5])
+    level = F.element_at(F.array(*map(F.lit, ("rsh", "rs", "s", "rh", "all"))), F.col("set") + 1)
+    return found.select(level.alias("level"), "route_id", "stop_id", "hour", F.col("n_link_sec").alias("n"), *(F.col(c)[0].alias(c) for c in ("link_sec", "link_m", "link_mps")))
 
 
 def with_link(rows: DataFrame, tables: DataFrame) -> DataFrame:

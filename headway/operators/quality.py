@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headway import constants as K
 from headway.operators.folds import folded
+from headway.operators.quantiles import quantiles
 
 
 def day_statistics(positions: DataFrame, day: str = "service_date", low: int = 1000) -> DataFrame:
@@ -16,9 +17,9 @@ def day_statistics(positions: DataFrame, day: str = "service_date", low: int = 1
 
 def describe(rows: DataFrame, column: str) -> DataFrame:
     """Count, mean, sample deviation, least, quartiles, 90th and 95th percentile and largest of a column, exact."""
-    q = F.expr(f"percentile({column}, array(0.25, 0.5, 0.75, 0.9, 0.95))")
-    d = rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), q.alias("q"))
-    return d.select("n", "mean", "std", "min", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75, 90, 95))), "max")
+    q = quantiles(rows, [[]], {"q": F.col(column)}, [0.25, 0.5, 0.75, 0.9, 0.95]).select("q")
+    d = rows.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return d.join(F.broadcast(q), how="left").select("n", "mean", "std", "min", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75, 90, 95))), "max")
 
 
 def dedup_fixes(positions: DataFrame, keys: tuple[str, ...] = ("vehicle_id", "feed_ts"), order: tuple[str, ...] = ("seq",)) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headway import constants as K
 from headway.operators.folds import folded, folded_in_blocks
+from headway.operators.quantiles import quantiles
 
 TRAJECTORY = ("vehicle_id", "trip_id")
 
@@ -127,8 +128,9 @@ def dwell_events(fixes: DataFrame, stops: DataFrame, moved: float = K.DWELL_MOVE
 def dwell_table(dwells: DataFrame, route_types: DataFrame, least: int = K.DWELL_MIN_EVENTS) -> DataFrame:
     """``route_type, n, dwell_sec``: the median rest by route type with enough events, and over all (type ``_global``)."""
     typed = dwells.join(route_types, "route_id", "left")
-    grouped = typed.rollup("route_type").agg(F.count("*").alias("n"), F.percentile("dwell_sec", F.lit(0.5)).alias("dwell_sec"), F.grouping("route_type").alias("all"))
-    return grouped.where((F.col("all") == 1) | (F.col("route_type").isNotNull() & (F.col("n") >= least))).select(F.when(F.col("all") == 1, "_global").otherwise(F.col("route_type").cast("string")).alias("route_type"), "n", "dwell_sec")
+    found = quantiles(typed, [["route_type"], []], {"dwell_sec": F.col("dwell_sec")}, [0.5])
+    kept = found.where((F.col("set") == 1) | (F.col("route_type").isNotNull() & (F.col("n_dwell_sec") >= least)))
+    return kept.select(F.when(F.col("set") == 1, "_global").otherwise(F.col("route_type").cast("string")).alias("route_type"), F.col("n_dwell_sec").alias("n"), F.col("dwell_sec")[0].alias("dwell_sec"))
 
 
 def off_route_signals(fixes: DataFrame, off: float = K.OFF_ROUTE_DIST_M, on: float = K.ON_ROUTE_DIST_M, wrong: float = K.BEARING_WRONG_DEG, keys: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:

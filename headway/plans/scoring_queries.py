@@ -11,13 +11,15 @@ from headway.operators import trajectory as T
 from headway.plans import testbed as B
 from headway.plans.rounding import rounded_queries, rounded_sql
 from headway.plans.trajectory_queries import ORDERED_SQL, STATIONARY_SQL, TRIPS, with_
+from headway.staging import written
 
 ZONE = "Europe/Kyiv"
 
 
 def _rows(spark, sf_dir):
+    """Training rows, written once, as priors, predictions and scores all start from them."""
     f = T.progress_speed(B.fixes(spark, sf_dir))
-    return T.training_rows(f, B.stops(f), horizon=B.HORIZON_SEC)
+    return written(T.training_rows(f, B.stops(f), horizon=B.HORIZON_SEC), "training-rows")
 
 
 def _primed(spark, sf_dir):
@@ -51,7 +53,7 @@ def apply_priors(spark, sf_dir):
 
 def features(spark, sf_dir):
     f = T.with_stationary(T.progress_speed(B.fixes(spark, sf_dir)))
-    rows = T.training_rows(f, B.stops(f), horizon=B.HORIZON_SEC)
+    rows = written(T.training_rows(f, B.stops(f), horizon=B.HORIZON_SEC), "training-rows")
     lengths = B.stops(f).groupBy("trip_id").agg(F.max("stop_dist_m").alias("length_m"))
     rows = FE.progress_features(FE.calendar_features(FE.apply_priors(rows, FE.route_hour_priors(rows))), lengths)
     rows = FE.with_codes(rows, FE.ordinal_codes(rows))

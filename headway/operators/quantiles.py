@@ -11,23 +11,55 @@ from headway.staging import written
 
 #: Steps of the sketch's grid, and its relative rank error (at most ``1 / ACCURACY``, by which the margin must exceed it).
 GRID, ACCURACY, MARGIN = 1000, 10_000, 3
+#: Rows of a cell that the exact aggregate may buffer.
+BUFFERED = 1_000_000
 
 
-def quantiles(rows: DataFrame, sets: list[list[str]], values: dict[str, Column], probabilities: list[float], rounds: int = 1) -> DataFrame:
+def quantiles(rows: DataFrame, sets: list[list[str]], values: dict[str, Column], probabilities: list[float], rounds: int | None = None, buffered: int = BUFFERED) -> DataFrame:
     """``set, keys, n_<name>, <name>`` for each set of keys and cell: counts and arrays of quantiles of the values that aren't null.
 
     Quantiles lie between neighbours in proportion, as ``percentile`` has them, and are exact. Keys outside of a set are
     null; ``set`` is its number. A cell without any value of a name has count 0 and nulls; one without any value at all is absent.
 
+    Cells are counted first. Sets whose largest cell has ``buffered`` rows at most are left to ``percentile``, whose
+    buffers that bounds; the others are refined, by as many ``rounds`` as their largest cell takes unless given. The
+    values are written once, unless ``rows`` is a written table, as each pass reads them.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    slim = rows.select(*keys, *(v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())))
+    slim = slim if hasattr(rows, "written_to") else written(slim, "quantiles")
+    ids = {sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s): n for n, s in enumerate(sets)}
+    number = F.element_at(F.create_map(*(F.lit(x) for pair in ids.items() for x in pair)), F.col("g").cast("int")) if keys else F.lit(0)
+    grouped = (lambda some: slim.groupingSets(some, *keys)) if keys else (lambda some: slim.groupBy())
+    g = (F.grouping_id() if keys else F.lit(0)).alias("g")
+    largest = {r["set"]: r["n"] for r in grouped(sets).agg(F.count("*").alias("n"), g).groupBy(number.alias("set")).agg(F.max("n").alias("n")).collect()}
+    small = [i for i in range(len(sets)) if largest.get(i, 0) <= buffered]
+    large = [i for i in range(len(sets)) if i not in small]
+    names = ["set", *keys, *(c for name in values for c in (f"n_{name}", name))]
+    out = None
+    if small:
+        aggregates = []
+        for i, name in enumerate(values):
+            v = F.when(~F.isnan(f"v{i}"), F.col(f"v{i}"))
+            aggregates += [F.count(v).alias(f"n_{name}"), F.coalesce(F.percentile(v, probabilities), F.array(*[F.lit(None).cast("double")] * len(probabilities))).alias(name)]
+        cells = grouped([sets[i] for i in small]).agg(*aggregates, g).withColumn("set", number)
+        out = cells.where(" + ".join(f"`n_{name}`" for name in values) + " > 0").select(*names)
+    if large:
+        refined = _refined(slim, keys, [(i, sets[i]) for i in large], list(values), probabilities, rounds or rounds_for(max(largest[i] for i in large))).select(*names)
+        out = refined if out is None else out.unionByName(refined)
+    return out
+
+
+def _refined(slim: DataFrame, keys: list[str], sets: list[tuple[int, list[str]]], values: list[str], probabilities: list[float], rounds: int) -> DataFrame:
+    """Quantiles of cells of any size.
+
     First every cell and name gets a count and a mergeable sketch. From the sketch's grid a bracket is read that must
     hold the ranks wanted, as its margin is ``MARGIN * ACCURACY / GRID`` times the sketch's error. Each further round
-    sketches what a bracket holds, which leaves about a hundred and fiftieth; ``rounds`` of 1 suit cells of up to some 10**9 values, 2 of
-    10**11. At last what lies below a bracket is counted, equal values within it are summed before the shuffle, and
-    only their counts are put in order. The values are written once, as each pass reads them. No task holds a cell's values, and a rank outside of its bracket is an error.
+    sketches what a bracket holds, which leaves about a hundredth. At last what lies below a bracket is counted, equal
+    values within it are summed before the shuffle, and only their counts are put in order. No task holds a cell's
+    values, and a rank outside of its bracket is an error.
     """
-    keys = list(dict.fromkeys(k for s in sets for k in s))
-    masked = [F.struct(F.lit(i).alias("set"), *((F.col(k) if k in s else F.lit(None).cast(rows.schema[k].dataType)).alias(k) for k in keys)) for i, s in enumerate(sets)]
-    slim = written(rows.select(*keys, *(v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values()))), "quantiles")
+    masked = [F.struct(F.lit(i).alias("set"), *((F.col(k) if k in s else F.lit(None).cast(slim.schema[k].dataType)).alias(k) for k in keys)) for i, s in sets]
     named = F.array(*(F.struct(F.lit(i).alias("name"), F.col(f"v{i}").alias("v")) for i in range(len(values))))
     tall = slim.select(F.explode(F.array(*masked)).alias("cell"), named.alias("x")).select("cell", F.explode("x").alias("x")).select("cell", "x.name", "x.v").where("v IS NOT NULL AND NOT isnan(v)")
 

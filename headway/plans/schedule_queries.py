@@ -15,6 +15,7 @@ from headway.plans import testbed as B
 from headway.plans.rounding import rounded_queries, rounded_sql
 from headway.plans.scoring_queries import PRIORS_SQL, _primed, _rows
 from headway.plans.trajectory_queries import DWELL_SQL, TRIPS, with_
+from headway.staging import written
 
 ROUTES, POINTS = 25, 40
 
@@ -181,12 +182,12 @@ def link_tables(spark, sf_dir):
 
 def segment_eta(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    return L.predict_segments(rows, L.link_tables(L.link_observations(rows))).select("vehicle_id", "trip_id", "seq", "stop_sequence", "segment_eta")
+    return L.predict_segments(rows, written(L.link_tables(L.link_observations(rows)), "link-tables")).select("vehicle_id", "trip_id", "seq", "stop_sequence", "segment_eta")
 
 
 def segment_eta_calibrated(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    p = L.predict_segments(rows, L.link_tables(L.link_observations(rows)), congestion=True)
+    p = written(L.predict_segments(rows, written(L.link_tables(L.link_observations(rows)), "link-tables"), congestion=True), "segment-etas")
     c = L.calibrated(p, L.horizon_corrections(p))
     return c.groupBy("stops_ahead").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("calibrated_eta") - F.col("seconds_to_arrival"))).alias("mae_sec"))
 

@@ -38,6 +38,11 @@ def _actuals(spark, sf_dir):
     return T.stop_crossings(f, B.stops(f)).select("vehicle_id", "trip_id", "route_id", "stop_id", "stop_sequence", F.floor("actual_arrival").alias("actual_arrival_ts"))
 
 
+def _both_sides(spark, sf_dir):
+    """Predictions and actuals, each written once, for what meets them several times."""
+    return written(_predictions(spark, sf_dir), "predictions"), written(_actuals(spark, sf_dir), "actuals")
+
+
 def _joined(spark, sf_dir):
     bounds = B.fixes(spark, sf_dir).groupBy("trip_id").agg(F.floor(F.min("t")).alias("start_ts"), F.floor(F.max("t")).alias("end_ts"))
     return S.residuals(_predictions(spark, sf_dir), _actuals(spark, sf_dir), ZONE, bounds)
@@ -89,31 +94,31 @@ def arriving_now(spark, sf_dir):
 
 
 def coverage_strict(spark, sf_dir):
-    return S.strict_coverage(_predictions(spark, sf_dir), _actuals(spark, sf_dir))
+    return S.strict_coverage(*_both_sides(spark, sf_dir))
 
 
 def physical_stop_coverage(spark, sf_dir):
-    return S.physical_coverage(_predictions(spark, sf_dir), _actuals(spark, sf_dir))
+    return S.physical_coverage(*_both_sides(spark, sf_dir))
 
 
 def nearest_prediction(spark, sf_dir):
-    return S.nearest_prediction(_predictions(spark, sf_dir), _actuals(spark, sf_dir))
+    return S.nearest_prediction(*_both_sides(spark, sf_dir))
 
 
 def coverage_gap_causes(spark, sf_dir):
-    return S.gap_counts(S.coverage_gaps(_predictions(spark, sf_dir), _actuals(spark, sf_dir), ZONE))
+    return S.gap_counts(S.coverage_gaps(*_both_sides(spark, sf_dir), ZONE))
 
 
 def coverage_gaps_by_route(spark, sf_dir):
-    return S.gap_counts(S.coverage_gaps(_predictions(spark, sf_dir), _actuals(spark, sf_dir), ZONE), "route_id", 20)
+    return S.gap_counts(S.coverage_gaps(*_both_sides(spark, sf_dir), ZONE), "route_id", 20)
 
 
 def coverage_gaps_by_hour(spark, sf_dir):
-    return S.gap_counts(S.coverage_gaps(_predictions(spark, sf_dir), _actuals(spark, sf_dir), ZONE), "hour")
+    return S.gap_counts(S.coverage_gaps(*_both_sides(spark, sf_dir), ZONE), "hour")
 
 
 def worst_routes(spark, sf_dir):
-    return S.worst_routes(_joined(spark, sf_dir))
+    return S.worst_routes(written(_joined(spark, sf_dir), "residuals"))
 
 
 def worst_predictions(spark, sf_dir):
@@ -141,12 +146,12 @@ def pooled_bias_by_day(spark, sf_dir):
 
 
 def bias_accumulate(spark, sf_dir):
-    d = _daily(spark, sf_dir, "stops_ahead")
+    d = written(_daily(spark, sf_dir, "stops_ahead"), "daily")
     return C.accumulate_bias(C.pooled_bias(d.where("date < '2024-01-16'")), C.pooled_bias(d.where("date >= '2024-01-16'")))
 
 
 def weekend_merge(spark, sf_dir):
-    d = _daily(spark, sf_dir, "day", "stops_ahead")
+    d = written(_daily(spark, sf_dir, "day", "stops_ahead"), "daily")
     flat = C.pooled_bias(_daily(spark, sf_dir, "stops_ahead")).withColumn("bias_sec", F.round("bias_sec").cast("long"))
     live = C.pooled_bias(d.where("date < '2024-01-16' AND stops_ahead <= 6"), ("day",), 20).withColumn("bias_sec", F.round("bias_sec").cast("long"))
     residual = C.pooled_bias(d.where("date >= '2024-01-16' AND stops_ahead <= 3"), ("day",), 20)

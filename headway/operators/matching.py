@@ -87,10 +87,10 @@ def match_fixes(fixes: DataFrame, trips: DataFrame, segs: DataFrame, services: D
     sure = near.where(believable(F.col("off_m"), F.col("bearing_diff"), mode)).select(*keys, F.lit("reported").alias("path"), F.col("reported_trip_id").alias("trip_id"), "off_m", "bearing_diff", (F.col("off_m") / K.MAX_DIST_M).alias("score"), F.col("off_m").alias("min_off_m"))
 
     rest = placed.join(sure, keys, "left_anti")
-    serving = ways.join(services, "service_id").join(times, "trip_id", "left")
-    asked = rest.join(serving.drop("service_id"), ["route_id", "day"])
     if mode == "batch":
-        asked = schedule.running(asked, F.col("now_sec")).where("running").drop("running")
+        asked = schedule.trips_at(rest, ways, services, times)
+    else:
+        asked = rest.join(ways.join(services, "service_id").drop("service_id").join(times, "trip_id", "left"), ["route_id", "day"])
     asked = schedule.distance_at(asked.withColumn("elapsed_sec", schedule.elapsed(F.col("now_sec"), F.col("first_sec"), F.col("last_sec"))), profile)
     pairs = asked.select(*keys, "shape_id", "x", "y").distinct()  # a route has many trips over few shapes
     met = asked.join(shapes.project(pairs, segs, keys), [*keys, "shape_id"])

@@ -86,6 +86,23 @@ def active_trips(services: DataFrame, trips: DataFrame, times: DataFrame, now_se
     return services.join(trips, "service_id").join(running(times, now_sec).where("running"), "trip_id").select("day", "route_id", "trip_id")
 
 
+def trips_at(fixes: DataFrame, trips: DataFrame, services: DataFrame, times: DataFrame, before: int = 600, after: int = 1800, bucket: int = 1800) -> DataFrame:
+    """Each of ``fixes(route_id, day, now_sec, ..)`` with the trips of its route in service that day that run at its second of the day.
+
+    ``trips(trip_id, route_id, service_id, ..)``, ``services(day, service_id)``, ``times(trip_id, first_sec, last_sec)``;
+    trips run as of :func:`running`. A trip's running window is dealt into buckets of the day, so that a fix meets those
+    of its bucket by equal keys, a few of a route's trips instead of a day's, and the window is checked after. Trips
+    without a known window are always candidates and meet a fix by route and day.
+    """
+    serving = trips.join(services, "service_id").drop("service_id").join(times, "trip_id", "left")
+    known = F.col("first_sec").isNotNull() & F.col("last_sec").isNotNull()
+    low, high = F.col("first_sec") - before, F.col("last_sec") + after
+    dealt = serving.where(known & (low <= high)).withColumn("bucket", F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))))
+    timed = fixes.withColumn("bucket", F.floor(F.col("now_sec") / bucket)).join(dealt, ["route_id", "day", "bucket"]).where(F.col("now_sec").between(low, high)).drop("bucket")
+    always = running(fixes.join(serving.where(~known), ["route_id", "day"]), F.col("now_sec"), before, after).where("running").drop("running")
+    return timed.unionByName(always)
+
+
 def stop_times_of(stop_times: DataFrame, trip_ids: list[str]) -> DataFrame:
     """Stops of the trips in their order; a filter on the trip reaches the scan."""
     return stop_times.where(F.col("trip_id").isin(*trip_ids)).orderBy("trip_id", "stop_sequence")

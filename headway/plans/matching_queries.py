@@ -55,6 +55,15 @@ def match_paths(spark, sf_dir):
     return both[0].unionByName(both[1])
 
 
+def active_trips_by_fix(spark, sf_dir):
+    """How many trips of a fix's route run when it is seen, over all days and seconds, and the first of them."""
+    trips, _, stop_times = _network(spark, sf_dir)
+    seen = _seen(spark, sf_dir).select("vehicle_id", "seq", "route_id", "day", "now_sec")
+    services = SC.active_services(S._calendar(spark), S._exceptions(spark), seen.select("day").distinct())
+    times = SC.bounds(stop_times).withColumn("last_sec", F.when(F.col("trip_id").cast("long") % 7 != 0, F.col("last_sec")))  # some ends are unknown
+    return SC.trips_at(seen, trips.drop("shape_id"), services, times).groupBy("vehicle_id", "seq").agg(F.count("*").alias("n_active"), F.min("trip_id").alias("first_trip"))
+
+
 def _on_shapes(spark, sf_dir):
     seen = _seen(spark, sf_dir).where("route_id IS NOT NULL")
     return seen.select("vehicle_id", "seq", F.concat_ws("-", "route_id", (F.col("seq") % 2).cast("string")).alias("shape_id"), "x", F.when(F.col("seq") % 50 == 0, F.col("y") + 5000).otherwise(F.col("y")).alias("y"))
@@ -65,7 +74,7 @@ def grid_match(spark, sf_dir):
     return SH.project_by_cells(_on_shapes(spark, sf_dir), _network(spark, sf_dir)[1], ["vehicle_id", "seq"])
 
 
-QUERIES = {f.__name__: f for f in (match_batch, match_live, match_paths, grid_match)}
+QUERIES = {f.__name__: f for f in (match_batch, match_live, match_paths, active_trips_by_fix, grid_match)}
 
 _SHARE = "greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / ((bx - ax) ** 2 + (yb - ay) ** 2)))"
 NETWORK_SQL = f"""
@@ -110,6 +119,9 @@ SQL = {
     "match_batch": _match_sql("batch") + "SELECT * FROM matched",
     "match_live": _match_sql("live") + "SELECT * FROM matched",
     "match_paths": " UNION ALL ".join(f"SELECT '{mode}' AS mode, path, count(*) AS n FROM ({_match_sql(mode)} SELECT * FROM matched) GROUP BY 2" for mode in ("batch", "live")),
+    "active_trips_by_fix": with_(NETWORK_SQL, S.STOP_TIMES_SQL, f" active AS ({S.SQL['active_services']})", " ends AS (SELECT trip_id, arg_min(sec, stop_sequence) AS first_sec, CASE WHEN trip_id::BIGINT % 7 <> 0 THEN arg_max(sec, stop_sequence) END AS last_sec FROM stop_times GROUP BY trip_id)")
+    + """SELECT vehicle_id, seq, count(*) AS n_active, min(w.trip_id) AS first_trip FROM seen s JOIN ways w ON w.route_id = s.route_id JOIN active a ON a.day = s.day AND a.service_id = w.service_id LEFT JOIN ends e ON e.trip_id = w.trip_id
+         WHERE COALESCE(now_sec BETWEEN first_sec - 600 AND last_sec + 1800, true) GROUP BY 1, 2""",
     "grid_match": with_(NETWORK_SQL, " onto AS (SELECT vehicle_id, seq, route_id || '-' || (seq % 2)::VARCHAR AS shape_id, x, CASE WHEN seq % 50 = 0 THEN y + 5000 ELSE y END AS y FROM seen WHERE route_id IS NOT NULL AND x IS NOT NULL)", f" g AS (SELECT o.*, seg, ax, ay, bx, yb, start_m, len_m, {_SHARE} AS share FROM onto o JOIN segs USING (shape_id))")
     + """SELECT vehicle_id, seq, shape_id, sqrt((x - (ax + share * (bx - ax))) ** 2 + (y - (ay + share * (yb - ay))) ** 2) AS off_m, start_m + share * len_m AS along_m, (degrees(atan2(bx - ax, yb - ay)) + 360) % 360 AS tangent FROM g
          QUALIFY row_number() OVER (PARTITION BY seq ORDER BY off_m, seg) = 1""",

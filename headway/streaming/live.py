@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from headway import constants as K
+from headway.streaming.state import MAX_STILL_AGE_SEC
 
 STATE = "trip_id string, t double, dist_m double, speed double, still_t double, still_dist_m double"
 OUTPUT = "vehicle_id string, trip_id string, seq long, t double, dist_m double, progress_speed_mps double, stationary_sec double"
@@ -16,12 +17,14 @@ OUTPUT = "vehicle_id string, trip_id string, seq long, t double, dist_m double,
 
 def advance(state: tuple | None, trip_id: str, t: float, dist: float) -> tuple[tuple, float, float]:
     """The next state, the speed, and the seconds at rest of a vehicle. A new trip starts anew; a fix under three
-    seconds after the last keeps its place and speed."""
+    seconds after the last keeps its place and speed. State that was carried over may lack its place or its rest."""
     if state is None or state[0] != trip_id:
         return (trip_id, t, dist, K.SPEED_UNKNOWN, t, dist), K.SPEED_UNKNOWN, 0.0
     _, t0, d0, speed, still_t, still_d = state
-    if dist - still_d > K.MOVE_EPS_M:
+    if still_t is None or dist - still_d > K.MOVE_EPS_M:
         still_t, still_d = t, dist
+    if t0 is None:
+        return (trip_id, t, dist, K.SPEED_UNKNOWN, still_t, still_d), K.SPEED_UNKNOWN, t - still_t
     dt = t - t0
     if dt < K.SPEED_MIN_GAP_SEC:
         return (trip_id, t0, d0, speed, still_t, still_d), speed, t - still_t
@@ -29,11 +32,18 @@ def advance(state: tuple | None, trip_id: str, t: float, dist: float) -> tuple[t
     return (trip_id, t, dist, speed, still_t, still_d), speed, t - still_t
 
 
-def tracked(fixes: DataFrame, forget_after_ms: int = 6 * 3600 * 1000) -> DataFrame:
+def tracked(fixes: DataFrame, forget_after_ms: int = 6 * 3600 * 1000, initial: DataFrame | None = None) -> DataFrame:
     """Speed and time at rest for a stream of ``vehicle_id, trip_id, seq, t, dist_m``, by state for each vehicle.
 
-    State goes when a vehicle hasn't been seen for ``forget_after_ms``; a micro-batch holds a few fixes of each.
+    State goes when a vehicle hasn't been seen for ``forget_after_ms``; a micro-batch holds a few fixes of each. A
+    vehicle without state starts from its row of ``initial(vehicle_id, trip_id, t, dist_m, speed, still_t,
+    still_dist_m)``, such as :func:`state.saved_state` of another stream; its rest counts unless it is older than
+    MAX_STILL_AGE_SEC by the fix that asks for it. Each micro-batch is joined to that table, one row a vehicle.
     """
+    names = [c.split()[0] for c in STATE.split(", ")]
+    carries = initial is not None
+    if carries:
+        fixes = fixes.join(initial.select("vehicle_id", *(F.col(c).alias(f"was_{c}") for c in names)), "vehicle_id", "left")
 
     def step(key: tuple, pdfs: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
@@ -43,6 +53,11 @@ def tracked(fixes: DataFrame, forget_after_ms: int = 6 * 3600 * 1000) -> DataFra
             return
         now = state.get if state.exists else None
         rows = pd.concat(list(pdfs)).sort_values(["t", "seq"])
+        if now is None and carries:
+            was = [None if pd.isna(x) else x for x in rows.iloc[0][[f"was_{c}" for c in names]]]
+            if was[4] is not None and rows.iloc[0]["t"] - was[4] > MAX_STILL_AGE_SEC:
+                was[4:] = None, None
+            now = tuple(was) if was[0] is not None else None
         out = []
         for r in rows.itertuples():
             now, speed, still = advance(now, r.trip_id, r.t, r.dist_m)

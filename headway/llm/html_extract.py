@@ -242,7 +242,7 @@ def _brief(text: str) -> str:
 
 
 def rule_of(wrapper: list) -> dict:
-    """What a wrapper tells extraction: the path that holds most of the text in slots, and the texts that all pages share."""
+    """What a wrapper tells extraction: the path that holds most of the text in slots, or the article element around it, and the texts that all pages share."""
     pages, constant, weight = wrapper[5], [], {}
 
     def walk(n: list, path: tuple):
@@ -260,7 +260,11 @@ def rule_of(wrapper: list) -> dict:
         return {}
     total = max(weight.values())
     holds = [p for p, w in weight.items() if w >= 0.8 * total and p[-1].split(".")[0] in ("div", "section", "td", "main", "article", "body")]
-    return {"main": "/".join(max(holds, key=lambda p: (len(p), p))) if holds else None, "constant": [[p, _brief(t)] for p, t in constant]}
+    main = max(holds, key=lambda p: (len(p), p), default=None)
+    if main:  # headline, lead and closing stand in the article beside the division that holds most of it
+        around = [d for d in range(1, len(main) + 1) if main[d - 1].split(".")[0] == "article"]
+        main = main[: around[-1]] if around else main
+    return {"main": "/".join(main) if main else None, "constant": [[p, _brief(t)] for p, t in constant]}
 
 
 @lru_cache(maxsize=4096)

@@ -114,3 +114,17 @@ def test_wrapper_finds_articles_without_names():
             total += 1
             equal += H.main_text(html, named) == H.main_text(opaque(html), bare)
     assert total > 900 and equal >= 0.99 * total, (equal, total)
+
+
+def test_article_beside_its_largest_division(spark):
+    """Headline, lead and closing of an article whose text is mostly in a division, with a rule of its host and without."""
+
+    def page(i):
+        said = [f"Headline number {i} of the day", f"The lead {i} sums it up {i * 7}.", *(f"Paragraph {j} of page {i} goes on about matter {i * 31 + j} for quite a while and more." for j in range(4)), f"So ends story {i}."]
+        html = f'<html><body><div class="top"><a href="/">Home</a> <a href="/x">Old news</a></div><article><h1>{said[0]}</h1><p class="lead">{said[1]}</p><div class="body">' + "".join(f"<p>{t}</p>" for t in said[2:6]) + f'</div><p class="end">{said[6]}</p></article><div class="foot">All rights kept</div></body></html>'
+        return (i, f"http://one.example/{i}", html), " ".join(said)
+
+    made = [page(i) for i in range(12)]
+    for n in (4, 12):
+        got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame([m[0] for m in made[:n]], "page_id long, url string, html string")).collect()}
+        assert got == {m[0][0]: m[1] for m in made[:n]}, n

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from headway import constants as K
 from headway.operators.quantiles import quantiles
+from headway.operators.schedule import seconds_at
 
 #: Order of the model's inputs; imported models count on it.
 FEATURES = (
@@ -36,6 +37,17 @@ def progress_features(rows: DataFrame, lengths: DataFrame) -> DataFrame:
     return rows.withColumns({"remaining_dist_m": remaining, "trip_progress_frac": F.col("stop_dist_m") / F.greatest(F.col("length_m"), F.lit(1.0)), "dist_per_stop_m": remaining / F.greatest(F.col("stops_ahead"), F.lit(1))}).drop("length_m")
 
 
+def scheduled_remaining(rows: DataFrame, profile: DataFrame) -> DataFrame:
+    """Adds ``sched_remaining_sec``: the schedule's seconds from the fix's place to the stop's, never negative.
+
+    ``rows(trip_id, dist_m, stop_dist_m)``, ``profile(trip_id, dist_m, cum_sec)``, as the served features have it; null
+    where a trip's schedule has fewer than two known places.
+    """
+    here = seconds_at(rows, profile, "dist_m").withColumnRenamed("sched_sec", "sched_here")
+    left = F.col("sched_sec") - F.col("sched_here")
+    return seconds_at(here, profile, "stop_dist_m").withColumn("sched_remaining_sec", F.when(left.isNotNull(), F.greatest(left, F.lit(0.0)))).drop("sched_sec", "sched_here")
+
+
 def route_hour_priors(rows: DataFrame) -> DataFrame:
     """``route_id, hour, speed, sec_per_stop``: exact medians by route and hour; the global row has nulls for keys.
 

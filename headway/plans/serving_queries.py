@@ -15,7 +15,8 @@ from headway.operators import trajectory as T
 from headway.plans import schedule_queries as S
 from headway.plans import testbed as B
 from headway.plans.rounding import rounded_queries, rounded_sql
-from headway.plans.trajectory_queries import STATUS_SQL, with_
+from headway.plans.scoring_queries import _rows
+from headway.plans.trajectory_queries import STATUS_SQL, TRIPS, with_
 from headway.sources import snapshots
 
 ZONE = "Europe/Kyiv"
@@ -48,6 +49,13 @@ def serving_features(spark, sf_dir):
     return SV.serving_features(f, _timed_stops(f), lengths).select(*names)
 
 
+def scheduled_remaining(spark, sf_dir):
+    """The schedule's seconds ahead in training rows, by the timetable of the served features."""
+    rows = _rows(spark, sf_dir)
+    profile = _timed_stops(B.fixes(spark, sf_dir)).select("trip_id", F.col("stop_dist_m").alias("dist_m"), "cum_sec")
+    return FE.scheduled_remaining(rows, profile).select("vehicle_id", "trip_id", "seq", "stop_sequence", "sched_remaining_sec")
+
+
 def terminus_predictions(spark, sf_dir):
     f = _vehicles(spark, sf_dir)
     f = f.withColumn("until_departure", clock.until_departure(F.col("departure_sec"), F.col("now_sec"), F.col("route_type")))
@@ -188,12 +196,12 @@ def nearest_shapes(spark, sf_dir):
 _QUERIES = {
     f.__name__: f
     for f in (
-        serving_features, terminus_predictions, trip_delay, dwell_lookup, bias_lookup, serving_rules, local_clock, trip_instances, schedule_versions, active_trips, vehicle_kinds, trip_stop_times, missing_days, older_columns,
+        serving_features, scheduled_remaining, terminus_predictions, trip_delay, dwell_lookup, bias_lookup, serving_rules, local_clock, trip_instances, schedule_versions, active_trips, vehicle_kinds, trip_stop_times, missing_days, older_columns,
         feed_repeats, stale_days, blended_arms, snapshot_sample, time_split_counts, offroute_by_trip, distance_along, chord_tangents, nearest_shapes,
     )
 }
 
-_ROUNDED = {"serving_features": ["remaining_dist_m", "trip_progress_frac", "dist_per_stop_m", "sched_remaining_sec"], "distance_along": ["dist_m"], "chord_tangents": ["tangent"], "nearest_shapes": ["off_m"]}
+_ROUNDED = {"scheduled_remaining": ["sched_remaining_sec"], "serving_features": ["remaining_dist_m", "trip_progress_frac", "dist_per_stop_m", "sched_remaining_sec"], "distance_along": ["dist_m"], "chord_tangents": ["tangent"], "nearest_shapes": ["off_m"]}
 
 _BUCKET = "('0x' || substr(md5({}), 1, 8))::BIGINT % 10000"
 _SQL = {
@@ -201,6 +209,9 @@ _SQL = {
     + """SELECT vehicle_id, trip_id, seq, stop_id, stop_sequence, stops_ahead::INT AS stops_ahead, stops_remaining::INT AS stops_remaining, hour, (isodow(service_date) - 1)::INT AS day_of_week, (isodow(service_date) >= 6)::INT AS is_weekend, month(service_date)::INT AS month,
          (month(service_date) * 100 + day(service_date) IN (101, 107, 308, 501, 509, 628, 824, 1014, 1225))::INT AS is_holiday, stop_dist_m - dist_m AS remaining_dist_m, stop_dist_m / 3900.0::DOUBLE AS trip_progress_frac, (stop_dist_m - dist_m) / stops_ahead AS dist_per_stop_m,
          greatest(cum_sec - (k * 60 + k * k % 7 + (dist_m - k * 100) / 100 * (60 + (k + 1) * (k + 1) % 7 - k * k % 7)), 0) AS sched_remaining_sec FROM (SELECT *, floor(dist_m / 100)::BIGINT AS k FROM ahead)""",
+    "scheduled_remaining": with_(*TRIPS)
+    + """SELECT vehicle_id, trip_id, seq, stop_sequence, greatest(stop_sequence * 60 + stop_sequence * stop_sequence % 7 - (k * 60 + k * k % 7 + (dist_m - k * 100) / 100 * (60 + (k + 1) * (k + 1) % 7 - k * k % 7)), 0)::DOUBLE AS sched_remaining_sec
+         FROM (SELECT *, floor(dist_m / 100)::BIGINT AS k FROM training)""",
     "terminus_predictions": with_(*SERVED) + "SELECT vehicle_id, trip_id, seq, stop_id, stop_sequence, stops_ahead::INT AS stops_ahead, until_departure + cum_sec AS seconds FROM leaves WHERE off_m <= 150 AND abs(dist_m) <= 50 AND until_departure IS NOT NULL",
     "trip_delay": with_(*SERVED) + "SELECT vehicle_id, trip_id, seq, CASE WHEN route_type IN (0, 11) THEN trunc(t + (stop_dist_m - dist_m) / 5.0::DOUBLE - (t - departure_sec % 700 + cum_sec))::INT END AS delay_sec FROM ahead WHERE stops_ahead = 1",
     "dwell_lookup": "SELECT o_orderkey, (o_orderkey % 13)::INT AS route_type, CASE o_orderkey % 13 WHEN 0 THEN 32 WHEN 3 THEN 27 ELSE 28 END::INT AS dwell_sec FROM orders",

@@ -107,3 +107,19 @@ def test_wire_round_trip():
     data = wire.encode_feed(1_700_000_005, [wire.encode_trip_update(update)])
     assert [(r[4], r[6], r[7]) for r in wire.decode_predictions(data)] == [("s1", 1, 1_700_000_100), ("s1", 3, 1_700_000_300)]
     assert wire.feed_stats(data, "s1") == (1_700_000_005, 1, 2)
+
+
+def test_scheduled_seconds_agree_in_training_and_serving(spark):
+    """Both builders read the same schedule at the same places: 30 and 90 seconds from between two stops."""
+    from headway.operators import serving as SV
+
+    stops = spark.createDataFrame([("t", f"s{i}", i + 1, i * 500.0, i * 60.0) for i in range(5)], "trip_id string, stop_id string, stop_sequence int, stop_dist_m double, cum_sec double")
+    fixes = spark.createDataFrame([("v", "t", 1, 250.0, dt.date(2024, 1, 3), 7), ("v", "t", 2, 1999.0, dt.date(2024, 1, 3), 7)], "vehicle_id string, trip_id string, seq long, dist_m double, service_date date, hour int")
+    served = SV.serving_features(fixes, stops, spark.createDataFrame([("t", 2000.0)], "trip_id string, length_m double"))
+    profile = stops.select("trip_id", F.col("stop_dist_m").alias("dist_m"), "cum_sec")
+    trained = FE.scheduled_remaining(served.select("seq", "trip_id", "dist_m", "stop_sequence", "stop_dist_m"), profile)
+    key = lambda r: (r["seq"], r["stop_sequence"])
+    got = {key(r): round(r["sched_remaining_sec"], 6) for r in trained.collect()}
+    assert got == {key(r): round(r["sched_remaining_sec"], 6) for r in served.collect()}
+    assert [got[1, s] for s in (2, 3)] == [30, 90] and got[2, 5] == 0.12
+    assert [r["sched_remaining_sec"] for r in FE.scheduled_remaining(served.limit(1).select("trip_id", "dist_m", "stop_dist_m"), profile.limit(1)).collect()] == [None]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from headway import constants as K
 from headway.functions.serving import at_first_stop, horizon_value
-from headway.operators.features import calendar_features
+from headway.operators.features import FEATURES, apply_priors, calendar_features, with_codes
 from headway.operators.schedule import seconds_at
 
 
@@ -42,6 +42,18 @@ def serving_features(vehicles: DataFrame, stops: DataFrame, lengths: DataFrame)
     ).drop("length_m", "sched_sec")
 
 
+def served_vector(vehicles: DataFrame, stops: DataFrame, lengths: DataFrame, priors: DataFrame, codes: DataFrame) -> DataFrame:
+    """The columns of ``vehicles``, ``stop_id, stop_dist_m``, ``route_code`` and FEATURES: a served row has what a training row of the same fix and stop has.
+
+    ``vehicles(trip_id, route_id, dist_m, service_date, hour, ..)``; a speed or rest that they lack, or that is null, is -1
+    and 0, what a vehicle seen for the first time has in training.
+    """
+    for name, unknown in (("progress_speed_mps", -1.0), ("stationary_sec", 0.0)):
+        vehicles = vehicles.withColumn(name, F.coalesce(F.col(name), F.lit(unknown)) if name in vehicles.columns else F.lit(unknown))
+    rows = with_codes(apply_priors(serving_features(vehicles, stops, lengths), priors), codes)
+    return rows.select(*dict.fromkeys([*vehicles.columns, "stop_id", "stop_dist_m", "route_code", *FEATURES]))
+
+
 def terminus_predictions(ahead: DataFrame) -> DataFrame:
     """Rows of :func:`upcoming` with ``seconds``: for vehicles that wait at their first stop, the timetable's departure and time of travel.
 

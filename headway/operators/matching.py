@@ -118,3 +118,43 @@ def with_hysteresis(rows: DataFrame) -> DataFrame:
     out = f"named_struct('seq', x.seq, 'trip_id', {found}, 'score', {chosen}.score, 'off_m', {chosen}.off_m)"
     kept = folded("f", "cast(null AS string)", f"coalesce({found}, s)", out, "struct<seq:bigint,trip_id:string,score:double,off_m:double>")
     return runs.select("vehicle_id", F.inline(kept)).withColumn("high_confidence", F.col("off_m") < K.MAX_DIST_M / 2)
+
+
+def tracked_trips(fixes: DataFrame, candidates: DataFrame, keys: tuple[str, ...] = ("vehicle_id", "day")) -> DataFrame:
+    """``keys, seq, trip_id, score, off_m, high_confidence, off_route`` of every fix: its trip, and whether it is on its way at all.
+
+    ``fixes(keys, seq, t, route_id, x, y)``, ``candidates(keys, seq, trip_id, score, off_m, bearing_diff, trusted)``. A
+    trusted candidate is taken, its score its distance over MAX_DIST_M; else the best, unless the trip before is a
+    candidate within HYSTERESIS_DIST_M and no farther off. The least distance of a fix, infinite without candidates, and
+    the heading against the trip taken feed the off-route status; while that is on, a fix has no trip and none is
+    remembered. A fix without route or place keeps its row, with no trip and on route, and changes nothing of what
+    follows. Without any candidate near enough ``trip_id`` is null; ``score, off_m`` are null where nothing was taken.
+
+    What is remembered starts anew with each of ``keys``: by day, so that a task folds a vehicle's day and no more.
+    """
+    one = ["score", "trip_id", "off_m", "bearing_diff", "trusted"]
+    c = F.array_sort(F.collect_list(F.struct(F.when(F.col("trusted"), F.col("off_m") / K.MAX_DIST_M).otherwise(F.col("score")).alias("score"), *one[1:])))
+    met = candidates.withColumn("trusted", F.coalesce("trusted", F.lit(False))).groupBy(*keys, "seq").agg(c.alias("c"))
+    each = ", ".join(keys)
+    inf = "double('inf')"
+    kind = "struct<score:double,trip_id:string,off_m:double,bearing_diff:double,trusted:boolean>"
+    rows = fixes.select(*keys, "seq", "t", F.expr("coalesce(route_id, '') <> '' AND x IS NOT NULL AND y IS NOT NULL").alias("placed")).join(met, [*keys, "seq"], "left")
+    rows = rows.withColumn("c", F.expr("IF(placed, coalesce(c, array()), array())"))
+    rows = rows.withColumn("pick", F.expr(f"coalesce(try_element_at(filter(c, y -> y.trusted), 1), try_element_at(filter(c, y -> y.score < {inf}), 1))"))
+    rows = rows.withColumn("d", F.expr(f"CASE WHEN placed THEN IF(coalesce(pick.trusted, false), pick.off_m, coalesce(array_min(transform(c, y -> y.off_m)), {inf})) END"))
+    before = lambda n: f"lag(d, {n}) IGNORE NULLS OVER (PARTITION BY {each} ORDER BY t, seq)"
+    rows = rows.withColumn("far", F.expr(f"coalesce(d > {K.OFF_ROUTE_DIST_M} OR (d > {before(1)} AND {before(1)} > {before(2)} AND d > {K.ON_ROUTE_DIST_M}), false)"))
+    runs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "seq", "placed", "c", "pick", "d", "far"))).alias("f"))
+
+    last = "try_element_at(filter(x.c, y -> y.trip_id = s.trip), 1)"
+    stays = f"NOT coalesce(x.pick.trusted, false) AND s.trip IS NOT NULL AND {last}.off_m <= {K.HYSTERESIS_DIST_M} AND {last}.off_m <= coalesce(x.pick.off_m, {inf})"
+    signal = f"IF(s.off, x.d <= {K.ON_ROUTE_DIST_M}, x.far OR coalesce(g.bearing_diff > {K.BEARING_WRONG_DEG} AND x.d > {K.BEARING_MIN_DIST_M}, false))"
+    turns = f"h AND s.n + 1 >= IF(s.off, {K.ON_ROUTE_CONSEC}, {K.OFF_ROUTE_CONSEC})"
+    after = "named_struct('trip', IF(s.off <> w, cast(null AS string), g.trip_id), 'off', s.off <> w, 'n', IF(h AND NOT w, s.n + 1, 0), 'got', g)"
+    moved = f"transform(array(IF(coalesce({stays}, false), {last}, x.pick)), g -> transform(array({signal}), h -> transform(array({turns}), w -> {after})[0])[0])[0]"
+    state = f"struct<trip:string,off:boolean,n:int,got:{kind}>"
+    start = f"cast(named_struct('trip', null, 'off', false, 'n', 0, 'got', null) AS {state})"
+    step = f"IF(x.placed, cast({moved} AS {state}), cast(named_struct('trip', s.trip, 'off', s.off, 'n', s.n, 'got', null) AS {state}))"
+    out = f"named_struct('seq', x.seq, 'trip_id', IF(x.placed, n.trip, null), 'score', nullif(n.got.score, {inf}), 'off_m', n.got.off_m, 'high_confidence', coalesce(n.got.off_m < {K.MAX_DIST_M / 2} AND NOT n.off, false), 'off_route', x.placed AND n.off)"
+    done = folded("f", start, step, out, "struct<seq:bigint,trip_id:string,score:double,off_m:double,high_confidence:boolean,off_route:boolean>")
+    return runs.select(*keys, F.inline(done))

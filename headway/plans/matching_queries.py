@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from headway import constants as K
 from headway.operators import matching as M
 from headway.operators import schedule as SC
 from headway.operators import shapes as SH
@@ -33,6 +34,32 @@ def _seen(spark, sf_dir):
     )
 
 
+def tracked_trips(spark, sf_dir):
+    """Every fix of a vehicle's month with its trip and status; some have no place, and some no candidates."""
+    seq = F.col("seq")
+    months = B.read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.trunc(F.to_date("ts"), "month").alias("day"))
+    scored = S._candidates(spark, sf_dir).join(months, "seq")
+    fixes = S._points(spark, sf_dir).join(months, "seq").select("vehicle_id", "day", "seq", seq.cast("double").alias("t"), F.when(seq % 13 != 0, F.col("shape_id")).alias("route_id"), F.when(seq % 19 != 0, F.col("x")).alias("x"), "y")
+    own = (F.col("trip_id") == F.col("reported_trip_id")) & (F.col("off_m") < K.FAST_PATH_DIST_M)
+    return M.tracked_trips(fixes, scored.where("seq % 17 <> 0").select("vehicle_id", "day", "seq", "trip_id", "score", "off_m", "bearing_diff", own.alias("trusted")))
+
+
+TRACKED_SQL = """
+fx AS (SELECT user_id::VARCHAR AS vehicle_id, date_trunc('month', ts)::DATE AS day, event_id AS seq, event_id % 13 <> 0 AND event_id % 19 <> 0 AS placed FROM events),
+cs AS (SELECT s.vehicle_id, f.day, s.seq, trip_id, off_m, least((bearing - tangent + 360) % 360, 360 - (bearing - tangent + 360) % 360) AS diff, trip_id = (s.seq % 100)::VARCHAR AND off_m < 50 AS sure, CASE WHEN trip_id = (s.seq % 100)::VARCHAR AND off_m < 50 THEN off_m / 100.0 ELSE score END AS score
+       FROM scored s JOIN fx f ON f.seq = s.seq WHERE placed AND s.seq % 17 <> 0),
+picks AS (SELECT vehicle_id, day, seq, trip_id AS p_trip, off_m AS p_off, diff AS p_diff, sure, score AS p_score FROM cs WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY seq ORDER BY CASE WHEN sure THEN 0 ELSE 1 END, score, trip_id) = 1),
+placed0 AS (SELECT f.*, p_trip, p_off, p_diff, COALESCE(sure, false) AS sure, p_score, CASE WHEN sure THEN p_off ELSE COALESCE(m, 'inf'::DOUBLE) END AS d FROM fx f LEFT JOIN picks USING (vehicle_id, day, seq) LEFT JOIN (SELECT seq, min(off_m) AS m FROM cs GROUP BY 1) USING (seq) WHERE placed),
+ways AS (SELECT *, d > 150 OR COALESCE(d > lag(d) OVER w AND lag(d) OVER w > lag(d, 2) OVER w AND d > 100, false) AS far, row_number() OVER w AS rn FROM placed0 WINDOW w AS (PARTITION BY vehicle_id, day ORDER BY seq)),
+run AS (SELECT vehicle_id, day, 0::BIGINT AS seq, 0::BIGINT AS rn, NULL::VARCHAR AS trip, false AS off, 0 AS n, NULL::DOUBLE AS score, NULL::DOUBLE AS off_m FROM ways WHERE rn = 1
+  UNION ALL
+  SELECT vehicle_id, day, seq, rn, CASE WHEN off <> turn THEN NULL ELSE trip END, off <> turn, CASE WHEN signal AND NOT turn THEN n + 1 ELSE 0 END, score, off_m
+  FROM (SELECT *, signal AND n + 1 >= 3 AS turn FROM (SELECT *, CASE WHEN off THEN d <= 100 ELSE far OR COALESCE(diff > 90 AND d > 50, false) END AS signal FROM (
+    SELECT w.vehicle_id, w.day, w.seq, w.rn, r.off, r.n, w.d, w.far, CASE WHEN stays THEN b.trip_id ELSE p_trip END AS trip, CASE WHEN stays THEN b.score ELSE p_score END AS score, CASE WHEN stays THEN b.off_m ELSE p_off END AS off_m, CASE WHEN stays THEN b.diff ELSE p_diff END AS diff
+    FROM run r JOIN ways w ON w.vehicle_id = r.vehicle_id AND w.day = r.day AND w.rn = r.rn + 1 LEFT JOIN cs b ON b.seq = w.seq AND b.trip_id = r.trip,
+         LATERAL (SELECT COALESCE(NOT w.sure AND b.off_m <= 150 AND b.off_m <= COALESCE(w.p_off, 'inf'::DOUBLE), false) AS stays) q))))"""
+
+
 def _matched(spark, sf_dir, mode):
     trips, segs, stop_times = _network(spark, sf_dir)
     seen = _seen(spark, sf_dir)
@@ -74,7 +101,7 @@ def grid_match(spark, sf_dir):
     return SH.project_by_cells(_on_shapes(spark, sf_dir), _network(spark, sf_dir)[1], ["vehicle_id", "seq"])
 
 
-QUERIES = {f.__name__: f for f in (match_batch, match_live, match_paths, active_trips_by_fix, grid_match)}
+QUERIES = {f.__name__: f for f in (match_batch, match_live, match_paths, active_trips_by_fix, grid_match, tracked_trips)}
 
 _SHARE = "greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / ((bx - ax) ** 2 + (yb - ay) ** 2)))"
 NETWORK_SQL = f"""
@@ -116,6 +143,8 @@ matched AS (SELECT s.vehicle_id, s.seq, CASE WHEN s.route_id IS NULL OR s.x IS N
 
 
 SQL = {
+    "tracked_trips": with_(S.SHAPES_SQL, S.SCORES_SQL, TRACKED_SQL, recursive=True)
+    + """SELECT f.vehicle_id, f.day, f.seq, r.trip AS trip_id, r.score, r.off_m, COALESCE(r.off_m < 50 AND NOT r.off, false) AS high_confidence, COALESCE(r.off, false) AS off_route FROM fx f LEFT JOIN run r ON r.vehicle_id = f.vehicle_id AND r.day = f.day AND r.seq = f.seq AND r.rn > 0""",
     "match_batch": _match_sql("batch") + "SELECT * FROM matched",
     "match_live": _match_sql("live") + "SELECT * FROM matched",
     "match_paths": " UNION ALL ".join(f"SELECT '{mode}' AS mode, path, count(*) AS n FROM ({_match_sql(mode)} SELECT * FROM matched) GROUP BY 2" for mode in ("batch", "live")),
@@ -127,5 +156,5 @@ SQL = {
          QUALIFY row_number() OVER (PARTITION BY seq ORDER BY off_m, seg) = 1""",
 }
 
-_ROUNDED = {**{f"match_{m}": ["off_m", "score", "min_off_m"] for m in ("batch", "live")}, "grid_match": ["off_m", "along_m", "tangent"]}
+_ROUNDED = {**{f"match_{m}": ["off_m", "score", "min_off_m"] for m in ("batch", "live")}, "grid_match": ["off_m", "along_m", "tangent"], "tracked_trips": ["off_m", "score"]}
 QUERIES, SQL = rounded_queries(QUERIES, _ROUNDED), rounded_sql(SQL, _ROUNDED)

@@ -58,6 +58,11 @@ def predictions(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return _decoded(files, wire.decode_predictions, wire.PREDICTIONS, mode)
 
 
+def in_order(positions: DataFrame) -> DataFrame:
+    """Vehicle rows by ``timestamp`` and vehicle: a range sort, for who wants one file after another in order."""
+    return positions.withColumn("timestamp", F.timestamp_seconds("feed_ts")).orderBy("timestamp", "vehicle_id")
+
+
 def encoded_feeds(rows: DataFrame, kind: str = "vehicles") -> DataFrame:
     """``feed_ts, content``: a message for each feed time, entities in the order of the vehicles.
 
@@ -90,12 +95,15 @@ def encoded_feeds(rows: DataFrame, kind: str = "vehicles") -> DataFrame:
 REQUIRED = ("stop_times", "trips", "routes", "stops")
 
 
-def schedule_tables(spark: SparkSession, folder: str, file: str = "{}.txt") -> dict[str, DataFrame]:
-    """The tables of an unpacked static feed, all columns as strings; required ones must have rows, others may be missing."""
+def schedule_tables(spark: SparkSession, folder: str, file: str = "{}.txt", multi_line: bool = False) -> dict[str, DataFrame]:
+    """The tables of an unpacked static feed, all columns as strings; required ones must have rows, others may be missing.
+
+    Quotes within a quoted field are doubled. Line feeds within one need ``multi_line``, which reads a file in one task.
+    """
     out = {}
     for name in (*REQUIRED, "shapes", "calendar", "calendar_dates", "agency"):
         try:
-            table = spark.read.csv(f"{folder}/{file.format(name)}", header=True, inferSchema=False)
+            table = spark.read.csv(f"{folder}/{file.format(name)}", header=True, inferSchema=False, escape='"', multiLine=multi_line)
             if name in REQUIRED and table.isEmpty():
                 raise ValueError(f"{name} has no rows")
         except Exception as e:
@@ -106,10 +114,11 @@ def schedule_tables(spark: SparkSession, folder: str, file: str = "{}.txt") -> d
     return out
 
 
-def schedule_zip(spark: SparkSession, archive: str, folder: str) -> dict[str, DataFrame]:
+def schedule_zip(spark: SparkSession, archive: str, folder: str, block: int = 1 << 20) -> dict[str, DataFrame]:
     """The tables of a zipped static feed, from anywhere that Spark reads; its members are unpacked to ``folder``, which executors must see.
 
-    One archive is one row of ``binaryFile``; each member is written as text by a task, so the driver holds none of it.
+    One archive is one row of ``binaryFile``; its members are read as streams and written in blocks of whole records, each
+    member's in their order, so that neither the driver nor a task holds a member as a whole. Line ends become line feeds.
     """
 
     def members(batches: Iterator) -> Iterator:
@@ -118,17 +127,28 @@ def schedule_zip(spark: SparkSession, archive: str, folder: str) -> dict[str, Da
 
         import pyarrow as pa
 
+        def batch_of(name: str, i: int, lines: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([i], pa.int64()), pa.array(["".join(lines).removesuffix("\n")])], ["name", "i", "value"])
+
         for batch in batches:
             for data in batch.column("content").to_pylist():
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for name in z.namelist():
-                        if name.endswith(".txt"):
-                            lines = z.read(name).decode("utf-8-sig").splitlines()
-                            yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(lines)), pa.array(lines)], ["name", "value"])
-
-    lines = spark.read.format("binaryFile").load(archive).select("content").mapInArrow(members, "name string, value string")
-    lines.write.mode("overwrite").partitionBy("name").text(folder)
-    return schedule_tables(spark, folder, "name={}.txt")
+                    for name in sorted(n for n in z.namelist() if n.endswith(".txt")):
+                        base, i, held, size, open_quote = name.rsplit("/", 1)[-1], 0, [], 0, False
+                        with io.TextIOWrapper(z.open(name), "utf-8-sig") as lines:
+                            for line in lines:
+                                held.append(line)
+                                size += len(line)
+                                open_quote ^= line.count('"') % 2 == 1
+                                if size >= block and not open_quote:
+                                    yield batch_of(base, i, held)
+                                    i, held, size = i + 1, [], 0
+                        if held:
+                            yield batch_of(base, i, held)
+
+    blocks = spark.read.format("binaryFile").load(archive).select("content").mapInArrow(members, "name string, i long, value string")
+    blocks.repartition("name").sortWithinPartitions("name", "i").select("name", "value").write.mode("overwrite").partitionBy("name").text(folder)
+    return schedule_tables(spark, folder, "name={}.txt", multi_line=True)
 
 
 def agency_timezone(agency: DataFrame, default: str = "UTC") -> str:

@@ -53,6 +53,24 @@ def test_schedule_archive(spark, tmp_path):
     assert SN.agency_timezone(spark.createDataFrame([("1",)], "agency_id string")) == "UTC"
 
 
+def test_schedule_archive_keeps_records_and_their_order(spark, tmp_path):
+    """Many blocks of one member, with line feeds, separators and quotes within fields, and Windows line ends."""
+    rows = [(f"{i:05d}", f'a "{i}"\nsecond, line\u2028of {i}' if i % 3 == 0 else f"plain {i}") for i in range(3000)]
+    text = 'stop_id,stop_name\r\n' + "".join('{},"{}"\r\n'.format(k, v.replace('"', '""').replace("\n", "\r\n")) for k, v in rows)
+    with zipfile.ZipFile(tmp_path / "feed.zip", "w") as z:
+        for name in ("stop_times", "trips", "routes"):
+            z.writestr(f"{name}.txt", "a,b\n01,2\n")
+        z.writestr("inner/stops.txt", text)
+    tables = SN.schedule_zip(spark, str(tmp_path / "feed.zip"), str(tmp_path / "tables"), block=500)
+    assert tables["stops"].columns == ["stop_id", "stop_name"]
+    assert [tuple(r) for r in tables["stops"].collect()] == rows
+
+
+def test_positions_in_order(spark):
+    rows = spark.createDataFrame([(20, "b"), (10, "z"), (20, "a")], "feed_ts long, vehicle_id string")
+    assert [tuple(r) for r in SN.in_order(rows).select("feed_ts", "vehicle_id").collect()] == [(10, "z"), (20, "a"), (20, "b")]
+
+
 def test_live_status_equals_batch(spark, tmp_path):
     fixes = B.fixes(spark, SF).withColumn("bearing_diff", F.abs(F.col("bearing") - 180)).select("vehicle_id", "trip_id", "seq", "t", "off_m", "bearing_diff").coalesce(1)
     fixes.write.parquet(str(tmp_path / "in"))

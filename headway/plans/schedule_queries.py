@@ -157,19 +157,23 @@ def trip_match(spark, sf_dir):
 
 
 def trip_match_hysteresis(spark, sf_dir):
-    """Rows only: a fold over the vehicle's choices."""
     rows = _candidates(spark, sf_dir)
     sure = M.trusted(rows).select("vehicle_id", "seq", "trip_id", F.lit(True).alias("trusted"))
     rows = rows.join(sure, ["vehicle_id", "seq", "trip_id"], "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    return M.with_hysteresis(rows)
+    return M.with_hysteresis(rows).select("vehicle_id", "seq", "trip_id", F.round("score", 6).alias("score"), F.round("off_m", 3).alias("off_m"), "high_confidence")
 
 
 def stop_distances(spark, sf_dir):
-    """Rows only: a cursor along each shape."""
-    s = spark.range(ROUTES).select(F.col("id").cast("string").alias("shape_id"), F.col("id").cast("string").alias("trip_id"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("stop_sequence"))
-    s = s.withColumns({"stop_id": F.concat_ws("-", "shape_id", F.col("stop_sequence").cast("string")), "x": F.col("stop_sequence") * 1900.0, "y": F.lit(300.0)})
-    d = SH.stop_distances(s, _shapes(spark))
-    return d.join(SH.ambiguous(d), "shape_id")
+    """Stops along a shape for each customer with orders; those of every third customer turn back half-way, so that the cursor counts."""
+    c, k = F.col("o_custkey"), F.col("stop_sequence")
+    shapes = B.read(spark, sf_dir, "orders").select("o_custkey").distinct()
+    points = shapes.withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(POINTS - 1))))
+    segs = SH.segments(points.select(c.cast("string").alias("shape_id"), "seq", (F.col("seq") * 1000.0).alias("x"), ((c * 37 + F.col("seq") * 53) % 11 * 100.0).alias("y")))
+    stops = shapes.withColumn("stop_sequence", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    x = F.when((c % 3 == 0) & (k >= 10), (19 - k) * 1900.0).otherwise(k * 1900.0)
+    stops = stops.select(c.cast("string").alias("shape_id"), c.cast("string").alias("trip_id"), "stop_sequence", F.concat_ws("-", c.cast("string"), k.cast("string")).alias("stop_id"), x.alias("x"), F.lit(300.0).alias("y"))
+    d = SH.stop_distances(stops, segs)
+    return d.join(SH.ambiguous(d), "shape_id").select("shape_id", "stop_id", F.round("dist_m", 3).alias("dist_m"), F.round("naive_m", 3).alias("naive_m"), "is_ambiguous")
 
 
 def link_observations(spark, sf_dir):
@@ -303,6 +307,28 @@ cnear AS (SELECT *, sqrt((x - (ax + share * (bx - ax))) ** 2 + (y - (ay + share
           QUALIFY row_number() OVER (PARTITION BY vehicle_id, seq, trip_id ORDER BY off_m, seg) = 1),
 scored AS (SELECT n.*, CASE WHEN off_m <= 100 THEN 0.4 * (off_m / 100.0) + 0.3 * (least((bearing - tangent + 360) % 360, 360 - (bearing - tangent + 360) % 360) / 180.0) + 0.3 * least(abs(along_m - expected_m) / greatest(length_m, 1.0), 1.0) END AS score
            FROM cnear n JOIN lens l ON l.shape_id = n.shape_id)"""
+HYSTERESIS_SQL = """
+cs AS (SELECT vehicle_id, seq, trip_id, off_m, COALESCE(score, 'inf'::DOUBLE) AS score, trip_id = (seq % 100)::VARCHAR AND off_m < 50 AS sure FROM scored),
+picks AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY seq ORDER BY CASE WHEN sure THEN 0 ELSE 1 END, score, trip_id) = 1),
+ways AS (SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY seq) AS rn FROM picks),
+run AS (SELECT vehicle_id, 0::BIGINT AS seq, 0::BIGINT AS rn, NULL::VARCHAR AS before, NULL::VARCHAR AS found, NULL::DOUBLE AS score, NULL::DOUBLE AS off_m FROM ways WHERE rn = 1
+  UNION ALL
+  SELECT vehicle_id, seq, rn, COALESCE(found, before), found, score, off_m
+  FROM (SELECT w.vehicle_id, w.seq, w.rn, r.before, CASE WHEN stays THEN b.trip_id WHEN w.score < 'inf'::DOUBLE THEN w.trip_id END AS found, CASE WHEN stays THEN b.score ELSE w.score END AS score, CASE WHEN stays THEN b.off_m ELSE w.off_m END AS off_m
+        FROM run r JOIN ways w ON w.vehicle_id = r.vehicle_id AND w.rn = r.rn + 1 LEFT JOIN cs b ON b.seq = w.seq AND b.trip_id = r.before,
+             LATERAL (SELECT COALESCE(NOT w.sure AND b.off_m <= 150 AND (w.score = 'inf'::DOUBLE OR b.off_m <= w.off_m), false) AS stays) q))"""
+CURSOR_SQL = """
+of AS (SELECT DISTINCT o_custkey AS c FROM orders),
+pts AS (SELECT c, i AS seg, i * 1000.0::DOUBLE AS ax, ((c * 37 + i * 53) % 11) * 100.0::DOUBLE AS ay FROM of, range(40) r(i)),
+seg0 AS (SELECT *, lead(ax) OVER w AS bx, lead(ay) OVER w AS yb FROM pts WINDOW w AS (PARTITION BY c ORDER BY seg)),
+segs AS (SELECT *, sqrt((bx - ax) ** 2 + (yb - ay) ** 2) AS len_m, COALESCE(sum(sqrt((bx - ax) ** 2 + (yb - ay) ** 2)) OVER (PARTITION BY c ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_m FROM seg0 WHERE bx IS NOT NULL),
+met AS (SELECT g.*, k, x, ((x - ax) * (bx - ax) + (300 - ay) * (yb - ay)) / ((bx - ax) ** 2 + (yb - ay) ** 2) AS share FROM segs g, (SELECT k, t, CASE WHEN t AND k >= 10 THEN (19 - k) * 1900.0::DOUBLE ELSE k * 1900.0::DOUBLE END AS x FROM range(20) r(k), (VALUES (true), (false)) v(t)) s WHERE t = (c % 3 = 0)),
+free AS (SELECT c, k, start_m + greatest(0, least(1, share)) * len_m AS naive_m FROM met QUALIFY row_number() OVER (PARTITION BY c, k ORDER BY sqrt((x - (ax + greatest(0, least(1, share)) * (bx - ax))) ** 2 + (300 - (ay + greatest(0, least(1, share)) * (yb - ay))) ** 2), seg) = 1),
+run AS (SELECT c, -1::BIGINT AS k, 0.0::DOUBLE AS dist_m, 0.0::DOUBLE AS cur FROM of
+  UNION ALL
+  SELECT c, k, b.at, greatest(cur, b.at) FROM (
+    SELECT c, k, cur, min(struct_pack(off := sqrt((x - (ax + sh * (bx - ax))) ** 2 + (300 - (ay + sh * (yb - ay))) ** 2), seg := seg, at := start_m + sh * len_m)) AS b
+    FROM (SELECT m.*, r.cur, greatest(greatest(0, least(1, (cur - start_m) / len_m)), least(1, share)) AS sh FROM run r JOIN met m ON m.c = r.c AND m.k = r.k + 1 WHERE start_m + len_m >= cur) GROUP BY c, k, cur))"""
 _trained = with_(*TRIPS, LINKS_SQL)
 
 SQL = {
@@ -339,6 +365,9 @@ SQL = {
     "bearing_diff": """WITH d AS (SELECT event_id, user_id, ((event_id * 37 % 360)::DOUBLE - (user_id * 91 % 360)::DOUBLE + 360) % 360 AS d FROM events)
        SELECT event_id, least(d, 360 - d) AS diff, round((degrees(atan2(event_id % 7 - 3.0::DOUBLE, user_id % 5 - 2.0::DOUBLE)) + 360) % 360, 6) AS bearing FROM d""",
     "trip_score": with_(SHAPES_SQL, SCORES_SQL) + "SELECT vehicle_id, seq, trip_id, round(off_m, 3) AS off_m, round(score, 6) AS score FROM scored",
+    "trip_match_hysteresis": with_(SHAPES_SQL, SCORES_SQL, HYSTERESIS_SQL, recursive=True) + "SELECT vehicle_id, seq, found AS trip_id, round(score, 6) AS score, round(off_m, 3) AS off_m, off_m < 50 AS high_confidence FROM run WHERE rn > 0",
+    "stop_distances": with_(CURSOR_SQL, recursive=True)
+    + """SELECT c::VARCHAR AS shape_id, c::VARCHAR || '-' || k::VARCHAR AS stop_id, round(dist_m, 3) AS dist_m, round(naive_m, 3) AS naive_m, bool_or(abs(dist_m - naive_m) > 50) OVER (PARTITION BY c) AS is_ambiguous FROM run JOIN free USING (c, k)""",
     "trip_match": with_(SHAPES_SQL, SCORES_SQL)
     + """, r AS (SELECT *, min(off_m) OVER (PARTITION BY vehicle_id, seq) AS m FROM scored QUALIFY row_number() OVER (PARTITION BY vehicle_id, seq ORDER BY score NULLS LAST, trip_id) = 1)
        SELECT vehicle_id, seq, CASE WHEN score IS NOT NULL THEN trip_id END AS trip_id, round(m, 3) AS min_off_m FROM r""",

@@ -103,6 +103,16 @@ def trips_at(fixes: DataFrame, trips: DataFrame, services: DataFrame, times: Dat
     return timed.unionByName(always)
 
 
+def route_index(trips: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """``route_id, trip_id, n_stops, first_stop_id, last_stop_id``: the trips of each route that have stop times.
+
+    Rows, not an array a route, so that a route with a third of all trips stays spread; stops of equal sequence are in the order of their ids.
+    """
+    at = F.struct("stop_sequence", "stop_id")
+    ends = stop_times.where("trip_id IS NOT NULL").groupBy("trip_id").agg(F.count("*").alias("n_stops"), F.min(at)["stop_id"].alias("first_stop_id"), F.max(at)["stop_id"].alias("last_stop_id"))
+    return trips.select("route_id", "trip_id").join(ends, "trip_id").select("route_id", "trip_id", "n_stops", "first_stop_id", "last_stop_id")
+
+
 def stop_times_of(stop_times: DataFrame, trip_ids: list[str]) -> DataFrame:
     """Stops of the trips in their order; a filter on the trip reaches the scan."""
     return stop_times.where(F.col("trip_id").isin(*trip_ids)).orderBy("trip_id", "stop_sequence")

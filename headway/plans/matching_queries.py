@@ -34,6 +34,12 @@ def _seen(spark, sf_dir):
     )
 
 
+def route_index(spark, sf_dir):
+    """The trips of each route; every eleventh has no stop times."""
+    trips, _, stop_times = _network(spark, sf_dir)
+    return SC.route_index(trips, stop_times.where("cast(trip_id AS bigint) % 11 <> 0"))
+
+
 def tracked_trips(spark, sf_dir):
     """Every fix of a vehicle's month with its trip and status; some have no place, and some no candidates."""
     seq = F.col("seq")
@@ -101,7 +107,7 @@ def grid_match(spark, sf_dir):
     return SH.project_by_cells(_on_shapes(spark, sf_dir), _network(spark, sf_dir)[1], ["vehicle_id", "seq"])
 
 
-QUERIES = {f.__name__: f for f in (match_batch, match_live, match_paths, active_trips_by_fix, grid_match, tracked_trips)}
+QUERIES = {f.__name__: f for f in (match_batch, match_live, match_paths, active_trips_by_fix, grid_match, route_index, tracked_trips)}
 
 _SHARE = "greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (yb - ay)) / ((bx - ax) ** 2 + (yb - ay) ** 2)))"
 NETWORK_SQL = f"""
@@ -145,6 +151,8 @@ matched AS (SELECT s.vehicle_id, s.seq, CASE WHEN s.route_id IS NULL OR s.x IS N
 SQL = {
     "tracked_trips": with_(S.SHAPES_SQL, S.SCORES_SQL, TRACKED_SQL, recursive=True)
     + """SELECT f.vehicle_id, f.day, f.seq, r.trip AS trip_id, r.score, r.off_m, COALESCE(r.off_m < 50 AND NOT r.off, false) AS high_confidence, COALESCE(r.off, false) AS off_route FROM fx f LEFT JOIN run r ON r.vehicle_id = f.vehicle_id AND r.day = f.day AND r.seq = f.seq AND r.rn > 0""",
+    "route_index": with_(NETWORK_SQL, S.STOP_TIMES_SQL)
+    + "SELECT route_id, trip_id, n_stops, first_stop_id, last_stop_id FROM ways JOIN (SELECT trip_id, count(*) AS n_stops, arg_min(stop_id, stop_sequence) AS first_stop_id, arg_max(stop_id, stop_sequence) AS last_stop_id FROM stop_times GROUP BY 1) USING (trip_id) WHERE trip_id::BIGINT % 11 <> 0",
     "match_batch": _match_sql("batch") + "SELECT * FROM matched",
     "match_live": _match_sql("live") + "SELECT * FROM matched",
     "match_paths": " UNION ALL ".join(f"SELECT '{mode}' AS mode, path, count(*) AS n FROM ({_match_sql(mode)} SELECT * FROM matched) GROUP BY 2" for mode in ("batch", "live")),

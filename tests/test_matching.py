@@ -85,3 +85,13 @@ def test_reported_fixes_meet_no_candidates(spark, network):
     trips, *others = network
     df = spark.createDataFrame([("v", i, "elsewhere", 500.0, 1.0, 90.0, "a1", 1, 500) for i in range(5)], FIX)
     assert {(r["path"], r["trip_id"]) for r in M.match_fixes(df, trips, *others).collect()} == {("reported", "a1")}
+
+
+def test_route_index(spark):
+    from headway.operators import schedule as SC
+
+    trips = spark.createDataFrame([("r", "a"), ("r", "b"), ("q", "c")], "route_id string, trip_id string")
+    times = spark.createDataFrame([("a", "s1", 1), ("a", "s9", 3), ("a", "s2", 1), ("c", "s5", 7), ("x", "s5", 7), (None, "s5", 7)], "trip_id string, stop_id string, stop_sequence int")
+    got = sorted(map(tuple, SC.route_index(trips, times).collect()))
+    assert got == [("q", "c", 1, "s5", "s5"), ("r", "a", 3, "s1", "s9")]
+    assert SC.route_index(trips, times.limit(0)).isEmpty()

@@ -172,8 +172,7 @@ def stop_distances(spark, sf_dir):
     stops = shapes.withColumn("stop_sequence", F.explode(F.sequence(F.lit(0), F.lit(19))))
     x = F.when((c % 3 == 0) & (k >= 10), (19 - k) * 1900.0).otherwise(k * 1900.0)
     stops = stops.select(c.cast("string").alias("shape_id"), c.cast("string").alias("trip_id"), "stop_sequence", F.concat_ws("-", c.cast("string"), k.cast("string")).alias("stop_id"), x.alias("x"), F.lit(300.0).alias("y"))
-    d = SH.stop_distances(stops, segs)
-    return d.join(SH.ambiguous(d), "shape_id").select("shape_id", "stop_id", F.round("dist_m", 3).alias("dist_m"), F.round("naive_m", 3).alias("naive_m"), "is_ambiguous")
+    return SH.stop_distances(stops, segs).select("shape_id", "stop_id", F.round("dist_m", 3).alias("dist_m"), F.round("naive_m", 3).alias("naive_m"), "is_ambiguous")
 
 
 def link_observations(spark, sf_dir):

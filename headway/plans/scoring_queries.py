@@ -152,7 +152,8 @@ def bias_accumulate(spark, sf_dir):
 
 def weekend_merge(spark, sf_dir):
     d = written(_daily(spark, sf_dir, "day", "stops_ahead"), "daily")
-    flat = C.pooled_bias(_daily(spark, sf_dir, "stops_ahead")).withColumn("bias_sec", F.round("bias_sec").cast("long"))
+    # a date is of one kind, so its cells are those without the kind
+    flat = C.pooled_bias(d.drop("day")).withColumn("bias_sec", F.round("bias_sec").cast("long"))
     live = C.pooled_bias(d.where("date < '2024-01-16' AND stops_ahead <= 6"), ("day",), 20).withColumn("bias_sec", F.round("bias_sec").cast("long"))
     residual = C.pooled_bias(d.where("date >= '2024-01-16' AND stops_ahead <= 3"), ("day",), 20)
     return C.merge_bias(flat, live.drop("n"), residual.drop("n"))

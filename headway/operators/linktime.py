@@ -65,7 +65,9 @@ def calibrated(rows: DataFrame, corrections: DataFrame, predicted: str = "segmen
 
 
 def horizon_corrections(rows: DataFrame, predicted: str = "segment_eta") -> DataFrame:
-    return rows.groupBy("stops_ahead").agg(F.expr(f"percentile({predicted} - seconds_to_arrival, 0.5)").alias("median_error"))
+    """``stops_ahead, median_error``: exact medians, of which no task holds a horizon's errors."""
+    found = quantiles(rows, [["stops_ahead"]], {"median_error": F.col(predicted) - F.col("seconds_to_arrival")}, [0.5])
+    return found.select("stops_ahead", F.col("median_error")[0].alias("median_error"))
 
 
 def blended(left: DataFrame, right: DataFrame, keys: list[str], share: float = 0.5, most: float = K.MAX_HORIZON_SEC) -> DataFrame:

@@ -35,10 +35,10 @@ def trip_score(off_m: Column, diff: Column, along_m: Column, expected_m: Column,
     return F.when(off_m > K.MAX_DIST_M, float("inf")).otherwise(score(near))
 
 
-def scored(candidates: DataFrame, lengths: DataFrame, profile: str = "batch", keep_zero_bearing: bool = True) -> DataFrame:
-    """Adds ``bearing_diff`` and ``score`` to rows of :func:`match_shapes` with ``bearing`` and ``expected_m``."""
+def scored(candidates: DataFrame, lengths: DataFrame | None = None, profile: str = "batch", keep_zero_bearing: bool = True) -> DataFrame:
+    """Adds ``bearing_diff`` and ``score`` to rows of :func:`match_shapes` with ``bearing``, ``expected_m``, and ``length_m`` where no ``lengths`` are given."""
     heading = F.col("bearing") if keep_zero_bearing else F.when(F.col("bearing") != 0, F.col("bearing"))
-    rows = candidates.join(lengths, "shape_id").withColumn("bearing_diff", bearing_diff(heading, F.col("tangent")))
+    rows = (candidates.join(lengths, "shape_id") if lengths is not None else candidates).withColumn("bearing_diff", bearing_diff(heading, F.col("tangent")))
     return rows.withColumn("score", trip_score(F.col("off_m"), F.col("bearing_diff"), F.col("along_m"), F.col("expected_m"), F.col("length_m"), profile))
 
 
@@ -89,12 +89,15 @@ def match_fixes(fixes: DataFrame, trips: DataFrame, segs: DataFrame, services: D
     rest = placed.join(sure, keys, "left_anti")
     if mode == "batch":
         asked = schedule.trips_at(rest, ways, services, times)
+        pairs = asked.select(*keys, "shape_id", "x", "y").distinct()  # a route has many trips over few shapes
     else:
-        asked = rest.join(ways.join(services, "service_id").drop("service_id").join(times, "trip_id", "left"), ["route_id", "day"])
-    asked = schedule.distance_at(asked.withColumn("elapsed_sec", schedule.elapsed(F.col("now_sec"), F.col("first_sec"), F.col("last_sec"))), profile)
-    pairs = asked.select(*keys, "shape_id", "x", "y").distinct()  # a route has many trips over few shapes
-    met = asked.join(shapes.project(pairs, segs, keys), [*keys, "shape_id"])
-    best = best_trip(scored(met, shapes.lengths(segs), mode), keys)
+        asked = schedule.in_service(rest.join(ways.join(times, "trip_id", "left"), "route_id"), services)
+        pairs = rest.select(*keys, "route_id", "x", "y").join(ways.select("route_id", "shape_id").distinct(), "route_id").drop("route_id")
+    # candidates are the most rows, so they carry what their score needs and no more
+    asked = asked.select(*keys, "trip_id", "shape_id", "bearing", schedule.elapsed(F.col("now_sec"), F.col("first_sec"), F.col("last_sec")).alias("elapsed_sec"))
+    asked = schedule.distance_at(asked, profile).drop("elapsed_sec")
+    placed_pairs = shapes.project(pairs, segs, keys).join(shapes.lengths(segs), "shape_id")
+    best = best_trip(scored(asked.join(placed_pairs, [*keys, "shape_id"]), profile=mode), keys)
     found = F.col("trip_id").isNotNull()
     chosen = best.select(*keys, F.when(found, "matched").otherwise("unmatched").alias("path"), "trip_id", *(F.when(found, F.col(c)).alias(c) for c in ("off_m", "bearing_diff", "score")), "min_off_m")
     told = fixes.select(*keys, (F.coalesce("route_id", F.lit("")) != "").alias("routed"), (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("located")).join(sure.unionByName(chosen), keys, "left")

@@ -9,6 +9,8 @@ from headway.functions import clock
 from headway.functions.clock import service_seconds
 from headway.operators.asof import as_of
 
+#: Services by day that are sent to every task.
+MOST_SERVICES = 100_000
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
 
@@ -92,15 +94,23 @@ def trips_at(fixes: DataFrame, trips: DataFrame, services: DataFrame, times: Dat
     ``trips(trip_id, route_id, service_id, ..)``, ``services(day, service_id)``, ``times(trip_id, first_sec, last_sec)``;
     trips run as of :func:`running`. A trip's running window is dealt into buckets of the day, so that a fix meets those
     of its bucket by equal keys, a few of a route's trips instead of a day's, and the window is checked after. Trips
-    without a known window are always candidates and meet a fix by route and day.
+    without a known window are always candidates and meet a fix by route. The day's services are asked last: a trip a
+    row for each of its days would be more than all fixes.
     """
-    serving = trips.join(services, "service_id").drop("service_id").join(times, "trip_id", "left")
+    serving = trips.join(times, "trip_id", "left")
     known = F.col("first_sec").isNotNull() & F.col("last_sec").isNotNull()
     low, high = F.col("first_sec") - before, F.col("last_sec") + after
     dealt = serving.where(known & (low <= high)).withColumn("bucket", F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))))
-    timed = fixes.withColumn("bucket", F.floor(F.col("now_sec") / bucket)).join(dealt, ["route_id", "day", "bucket"]).where(F.col("now_sec").between(low, high)).drop("bucket")
-    always = running(fixes.join(serving.where(~known), ["route_id", "day"]), F.col("now_sec"), before, after).where("running").drop("running")
-    return timed.unionByName(always)
+    timed = fixes.withColumn("bucket", F.floor(F.col("now_sec") / bucket)).join(dealt, ["route_id", "bucket"]).where(F.col("now_sec").between(low, high)).drop("bucket")
+    always = running(fixes.join(serving.where(~known), "route_id"), F.col("now_sec"), before, after).where("running").drop("running")
+    return in_service(timed.unionByName(always), services)
+
+
+def in_service(rows: DataFrame, services: DataFrame) -> DataFrame:
+    """``rows(day, service_id, ..)`` whose service runs that day, without ``service_id``; services by day go to the rows where they are few."""
+    services = services.select("day", "service_id").distinct()
+    few = services.limit(MOST_SERVICES + 1).count() <= MOST_SERVICES
+    return rows.join(F.broadcast(services) if few else services, ["day", "service_id"], "left_semi").drop("service_id")
 
 
 def route_index(trips: DataFrame, stop_times: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from headway.operators import linktime as L
+from headway.operators import schedule as SC
 from headway.operators import trajectory as T
 from headway.operators.quantiles import quantiles
+from headway.plans import scoring_queries as SQ
 
 
 def plan(df):
@@ -28,3 +31,30 @@ def test_brackets_are_sent_to_the_rows(spark):
     text = out._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin [cell" in text and "SortMergeJoin [cell" not in text.split("HashAggregate")[-1]
     assert out.where("set = 1").first()["v"] == [2499.5]
+
+
+def test_services_are_asked_last(spark):
+    """A trip isn't dealt out once for each of its days."""
+    fixes = spark.createDataFrame([(1, "r", "2024-01-01", 36_000), (2, "r", "2024-01-02", 36_000), (3, "r", "2024-01-01", 80_000)], "k int, route_id string, day string, now_sec int")
+    ways = spark.createDataFrame([("a", "r", "x"), ("b", "r", "y"), ("c", "r", "y")], "trip_id string, route_id string, service_id string")
+    days = spark.createDataFrame([(f"2024-01-{d:02d}", "x") for d in range(1, 31)] + [("2024-01-02", "y")], "day string, service_id string")
+    times = spark.createDataFrame([("a", 35_000, 37_000), ("b", 35_000, 37_000)], "trip_id string, first_sec int, last_sec int")
+    out = SC.trips_at(fixes, ways, days, times)
+    assert sorted((r["k"], r["trip_id"]) for r in out.collect()) == [(1, "a"), (2, "a"), (2, "b"), (2, "c")]
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert all("LeftSemi" in line for line in joins if "day#" in line or "service_id#" in line)
+
+
+def test_corrections_hold_no_horizon_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "quantiles", lambda rows, sets, *rest: seen.append(sets) or quantiles(rows, sets, *rest, buffered=2))
+    rows = spark.createDataFrame([(h, float(v * v), 1.0) for h in (1, 2) for v in range(7)], "stops_ahead int, segment_eta double, seconds_to_arrival double")
+    got = L.horizon_corrections(rows)
+    assert seen == [[["stops_ahead"]]] and {r[0]: r[1] for r in got.collect()} == {1: 8.0, 2: 8.0}
+
+
+def test_weekend_merge_takes_its_rows_once(spark, monkeypatch):
+    made, daily = [], SQ._daily
+    monkeypatch.setattr(SQ, "_daily", lambda *a: made.append(a[2:]) or daily(*a))
+    assert SQ.QUERIES["weekend_merge"](spark, "/root/testdata/sf0.001").count() > 0
+    assert made == [("day", "stops_ahead")]

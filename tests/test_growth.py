@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from headway.operators import linktime as L
 from headway.operators import schedule as SC
+from headway.operators import shapes as SH
 from headway.operators import trajectory as T
 from headway.operators.quantiles import quantiles
 from headway.plans import scoring_queries as SQ
@@ -58,3 +59,18 @@ def test_weekend_merge_takes_its_rows_once(spark, monkeypatch):
     monkeypatch.setattr(SQ, "_daily", lambda *a: made.append(a[2:]) or daily(*a))
     assert SQ.QUERIES["weekend_merge"](spark, "/root/testdata/sf0.001").count() > 0
     assert made == [("day", "stops_ahead")]
+
+
+def network(spark):
+    """Shapes "0" to "49" of five segments along y = 0, and points near and far on two of them."""
+    segs = SH.segments(spark.range(50).select(F.col("id").cast("string").alias("shape_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("seq")).select("shape_id", "seq", (F.col("seq") * 1000.0).alias("x"), F.lit(0.0).alias("y")))
+    points = spark.createDataFrame([(1, "3", 2500.0, 40.0), (2, "3", 2500.0, 9000.0), (3, "7", -4000.0, 0.0)], "k int, shape_id string, x double, y double")
+    return points, segs, {(1, 40.0, 2500.0), (2, 9000.0, 2500.0), (3, 4000.0, 0.0)}
+
+
+def test_a_pair_of_point_and_segment_is_no_row(spark):
+    points, segs, want = network(spark)
+    for out in (SH.project(points, segs, ["k"]), SH.project_by_cells(points, segs, ["k"])):
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [k#" not in text and "cx#" not in text
+        assert {(r["k"], r["off_m"], r["along_m"]) for r in out.collect()} == want

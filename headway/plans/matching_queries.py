@@ -14,12 +14,16 @@ from headway.plans.rounding import rounded_queries, rounded_sql
 from headway.plans.trajectory_queries import with_
 
 
-def _network(spark, sf_dir):
-    """A customer is a route, its orders are the trips on two shapes of 40 points, and its trips' stops are their lines."""
+def _network(spark, sf_dir, asked=None):
+    """A customer is a route, its orders are the trips on two shapes of 40 points, and its trips' stops are their lines.
+
+    With ``asked(shape_id)``, points are made for these shapes only: forty rows a shape, most of which no fix ever meets.
+    """
     o = B.read(spark, sf_dir, "orders")
     route, shape = F.col("o_custkey").cast("string"), F.concat_ws("-", F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 2).cast("string"))
     trips = o.select(F.col("o_orderkey").cast("string").alias("trip_id"), route.alias("route_id"), shape.alias("shape_id"), F.concat(F.lit("svc"), (F.col("o_orderkey") % 12).cast("string")).alias("service_id"))
-    p = o.select(shape.alias("shape_id"), "o_custkey", (F.col("o_orderkey") % 2).alias("k")).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(S.POINTS - 1))))
+    p = o.select(shape.alias("shape_id"), "o_custkey", (F.col("o_orderkey") % 2).alias("k")).distinct()
+    p = (p if asked is None else SH.of_shapes(p, asked)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(S.POINTS - 1))))
     segs = SH.segments(p.select("shape_id", F.col("i").alias("seq"), (F.col("i") * 1000.0).alias("x"), ((F.col("o_custkey") * 37 + F.col("i") * 53 + F.col("k") * 5) % 11 * 100.0).alias("y")))
     return trips, segs, S._stop_times(spark, sf_dir)
 
@@ -104,7 +108,8 @@ def _on_shapes(spark, sf_dir):
 
 def grid_match(spark, sf_dir):
     """Each fix on one of its route's shapes by the grid, some far from any; the SQL compares every segment."""
-    return SH.project_by_cells(_on_shapes(spark, sf_dir), _network(spark, sf_dir)[1], ["vehicle_id", "seq"])
+    points = _on_shapes(spark, sf_dir)
+    return SH.project_by_cells(points, _network(spark, sf_dir, points)[1], ["vehicle_id", "seq"])
 
 
 QUERIES = {f.__name__: f for f in (match_batch, match_live, match_paths, active_trips_by_fix, grid_match, route_index, tracked_trips)}

@@ -8,6 +8,7 @@ from headway.operators import schedule as SC
 from headway.operators import shapes as SH
 from headway.operators import trajectory as T
 from headway.operators.quantiles import quantiles
+from headway.plans import matching_queries as MQ
 from headway.plans import scoring_queries as SQ
 
 
@@ -74,3 +75,12 @@ def test_a_pair_of_point_and_segment_is_no_row(spark):
         text = out._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate [k#" not in text and "cx#" not in text
         assert {(r["k"], r["off_m"], r["along_m"]) for r in out.collect()} == want
+
+
+def test_shapes_without_fixes_get_no_points(spark):
+    """The grid's shapes are chosen before forty points are made of each."""
+    points = MQ._on_shapes(spark, "/root/testdata/sf0.001")
+    segs = MQ._network(spark, "/root/testdata/sf0.001", points)[1]
+    text = segs._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in text[text.index("Generate") :]
+    assert segs.select("shape_id").distinct().join(points, "shape_id", "left_anti").isEmpty()

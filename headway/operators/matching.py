@@ -64,6 +64,17 @@ def believable(off_m: Column, diff: Column, profile: str = "batch") -> Column:
     return off_m < K.FAST_PATH_DIST_M
 
 
+def trips_asked(fixes: DataFrame, trips: DataFrame) -> DataFrame:
+    """The ``trips`` that ``fixes(route_id, reported_trip_id)`` may be of: those of their routes, and those reported.
+
+    :func:`match_fixes` gives the same for them as for all trips, of which a network may have many more.
+    """
+    routes = fixes.select("route_id").where("coalesce(route_id, '') <> ''").distinct()
+    reported = fixes.select(F.col("reported_trip_id").alias("trip_id")).where("trip_id IS NOT NULL").distinct()
+    of = lambda some, key: trips.join(some, key, "left_semi").select(trips.columns)
+    return of(routes, "route_id").unionByName(of(reported, "trip_id")).distinct()
+
+
 def match_fixes(fixes: DataFrame, trips: DataFrame, segs: DataFrame, services: DataFrame, times: DataFrame, profile: DataFrame, mode: str = "batch") -> DataFrame:
     """``vehicle_id, seq, path, trip_id, off_m, bearing_diff, score, min_off_m``: one row for each fix, whatever becomes of it.
 
@@ -82,22 +93,23 @@ def match_fixes(fixes: DataFrame, trips: DataFrame, segs: DataFrame, services: D
     own = placed.join(ways.select(F.col("trip_id").alias("reported_trip_id"), "shape_id", "service_id"), "reported_trip_id")
     if mode == "live":
         own = own.join(services, ["day", "service_id"], "left_semi")
-    at = shapes.project_within(own.select(*keys, "shape_id", "x", "y"), segs, keys, K.TRUST_DIST_M)
-    near = own.select(*keys, "reported_trip_id", "bearing").join(at, keys).withColumn("bearing_diff", bearing_diff(F.col("bearing"), F.col("tangent")))
+    lines = shapes.lines(segs)
+    at = shapes.on_lines_within(own, lines, [*keys, "reported_trip_id", "bearing"], K.TRUST_DIST_M)
+    near = at.withColumn("bearing_diff", bearing_diff(F.col("bearing"), F.col("tangent")))
     sure = near.where(believable(F.col("off_m"), F.col("bearing_diff"), mode)).select(*keys, F.lit("reported").alias("path"), F.col("reported_trip_id").alias("trip_id"), "off_m", "bearing_diff", (F.col("off_m") / K.MAX_DIST_M).alias("score"), F.col("off_m").alias("min_off_m"))
 
     rest = placed.join(sure, keys, "left_anti")
+    # A route has many trips over few shapes, so a fix gets its places first. Candidates are the most rows: what their
+    # score needs comes to them with the fix and the trip, so that no join shuffles them.
+    with_shapes = rest.join(ways.select("route_id", "shape_id").distinct(), "route_id")
+    seen = shapes.on_lines(with_shapes, lines, [*keys, "route_id", "bearing", "day", "now_sec"])
+    known = ways.join(shapes.lengths(segs), "shape_id").join(schedule.profile_arrays(profile, "cum_sec", "dist_m"), "trip_id", "left")
     if mode == "batch":
-        asked = schedule.trips_at(rest, ways, services, times)
-        pairs = asked.select(*keys, "shape_id", "x", "y").distinct()  # a route has many trips over few shapes
+        asked = schedule.trips_at(seen, known, services, times, on=("route_id", "shape_id"))
     else:
-        asked = schedule.in_service(rest.join(ways.join(times, "trip_id", "left"), "route_id"), services)
-        pairs = rest.select(*keys, "route_id", "x", "y").join(ways.select("route_id", "shape_id").distinct(), "route_id").drop("route_id")
-    # candidates are the most rows, so they carry what their score needs and no more
-    asked = asked.select(*keys, "trip_id", "shape_id", "bearing", schedule.elapsed(F.col("now_sec"), F.col("first_sec"), F.col("last_sec")).alias("elapsed_sec"))
-    asked = schedule.distance_at(asked, profile).drop("elapsed_sec")
-    placed_pairs = shapes.project(pairs, segs, keys).join(shapes.lengths(segs), "shape_id")
-    best = best_trip(scored(asked.join(placed_pairs, [*keys, "shape_id"]), profile=mode), keys)
+        asked = schedule.in_service(seen.join(known.join(times, "trip_id", "left"), ["route_id", "shape_id"]), services)
+    asked = asked.withColumn("elapsed_sec", schedule.elapsed(F.col("now_sec"), F.col("first_sec"), F.col("last_sec"))).withColumn("expected_m", F.expr(schedule.value_at("elapsed_sec")))
+    best = best_trip(scored(asked, profile=mode), keys)
     found = F.col("trip_id").isNotNull()
     chosen = best.select(*keys, F.when(found, "matched").otherwise("unmatched").alias("path"), "trip_id", *(F.when(found, F.col(c)).alias(c) for c in ("off_m", "bearing_diff", "score")), "min_off_m")
     told = fixes.select(*keys, (F.coalesce("route_id", F.lit("")) != "").alias("routed"), (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("located")).join(sure.unionByName(chosen), keys, "left")

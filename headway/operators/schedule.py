@@ -39,16 +39,24 @@ def profiles(stop_times: DataFrame) -> DataFrame:
     return timed.withColumn("since", since).select("trip_id", "stop_id", "stop_sequence", "dist_m", F.max("since").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_sec"))
 
 
+def profile_arrays(profile: DataFrame, x: str, y: str) -> DataFrame:
+    """``trip_id, p``: each trip's profile as an array of ``x, y``, of trips with two points at least."""
+    return profile.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p")).where(F.size("p") >= 2)
+
+
+def value_at(at: str) -> str:
+    """SQL for the y of the array ``p`` at x = ``at``: linear between its points, the end values beyond."""
+    k = f"size(filter(p, q -> q.x <= {at}))"
+    return f"""CASE WHEN {k} = 0 THEN p[0].y WHEN {k} = size(p) THEN p[size(p) - 1].y
+        ELSE p[{k} - 1].y + ({at} - p[{k} - 1].x) / (p[{k}].x - p[{k} - 1].x) * (p[{k}].y - p[{k} - 1].y) END"""
+
+
 def _interpolated(rows: DataFrame, profile: DataFrame, at: str, x: str, y: str, out: str) -> DataFrame:
     """Adds ``out``: the profile's y at x = ``at`` of each row's trip, linear between, the end values beyond; null without two points.
 
     Profiles are arrays by trip, so that rows meet them once and look the place up without an explosion.
     """
-    nested = profile.groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("p")).where(F.size("p") >= 2)
-    k = f"size(filter(p, q -> q.x <= {at}))"
-    value = f"""CASE WHEN {k} = 0 THEN p[0].y WHEN {k} = size(p) THEN p[size(p) - 1].y
-        ELSE p[{k} - 1].y + ({at} - p[{k} - 1].x) / (p[{k}].x - p[{k} - 1].x) * (p[{k}].y - p[{k} - 1].y) END"""
-    return rows.join(nested, "trip_id", "left").withColumn(out, F.expr(value)).drop("p")
+    return rows.join(profile_arrays(profile, x, y), "trip_id", "left").withColumn(out, F.expr(value_at(at))).drop("p")
 
 
 def seconds_at(rows: DataFrame, profile: DataFrame, dist: str = "dist_m") -> DataFrame:
@@ -88,8 +96,8 @@ def active_trips(services: DataFrame, trips: DataFrame, times: DataFrame, now_se
     return services.join(trips, "service_id").join(running(times, now_sec).where("running"), "trip_id").select("day", "route_id", "trip_id")
 
 
-def trips_at(fixes: DataFrame, trips: DataFrame, services: DataFrame, times: DataFrame, before: int = 600, after: int = 1800, bucket: int = 1800) -> DataFrame:
-    """Each of ``fixes(route_id, day, now_sec, ..)`` with the trips of its route in service that day that run at its second of the day.
+def trips_at(fixes: DataFrame, trips: DataFrame, services: DataFrame, times: DataFrame, before: int = 600, after: int = 1800, bucket: int = 1800, on: tuple[str, ...] = ("route_id",)) -> DataFrame:
+    """Each of ``fixes(route_id, day, now_sec, ..)`` with the trips of its route (of equal columns ``on``) in service that day that run at its second of the day.
 
     ``trips(trip_id, route_id, service_id, ..)``, ``services(day, service_id)``, ``times(trip_id, first_sec, last_sec)``;
     trips run as of :func:`running`. A trip's running window is dealt into buckets of the day, so that a fix meets those
@@ -101,8 +109,8 @@ def trips_at(fixes: DataFrame, trips: DataFrame, services: DataFrame, times: Dat
     known = F.col("first_sec").isNotNull() & F.col("last_sec").isNotNull()
     low, high = F.col("first_sec") - before, F.col("last_sec") + after
     dealt = serving.where(known & (low <= high)).withColumn("bucket", F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))))
-    timed = fixes.withColumn("bucket", F.floor(F.col("now_sec") / bucket)).join(dealt, ["route_id", "bucket"]).where(F.col("now_sec").between(low, high)).drop("bucket")
-    always = running(fixes.join(serving.where(~known), "route_id"), F.col("now_sec"), before, after).where("running").drop("running")
+    timed = fixes.withColumn("bucket", F.floor(F.col("now_sec") / bucket)).join(dealt, [*on, "bucket"]).where(F.col("now_sec").between(low, high)).drop("bucket")
+    always = running(fixes.join(serving.where(~known), list(on)), F.col("now_sec"), before, after).where("running").drop("running")
     return in_service(timed.unionByName(always), services)
 
 

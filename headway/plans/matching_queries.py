@@ -12,6 +12,7 @@ from headway.plans import schedule_queries as S
 from headway.plans import testbed as B
 from headway.plans.rounding import rounded_queries, rounded_sql
 from headway.plans.trajectory_queries import with_
+from headway.staging import written
 
 
 def _network(spark, sf_dir, asked=None):
@@ -71,8 +72,11 @@ run AS (SELECT vehicle_id, day, 0::BIGINT AS seq, 0::BIGINT AS rn, NULL::VARCHAR
 
 
 def _matched(spark, sf_dir, mode):
-    trips, segs, stop_times = _network(spark, sf_dir)
     seen = _seen(spark, sf_dir)
+    trips, _, stop_times = _network(spark, sf_dir)
+    trips = written(M.trips_asked(seen, trips), "trips-asked")
+    segs = _network(spark, sf_dir, trips)[1]
+    stop_times = stop_times.join(trips, "trip_id", "left_semi")
     services = SC.active_services(S._calendar(spark), S._exceptions(spark), seen.select("day").distinct())
     out = M.match_fixes(seen, trips, segs, services, SC.bounds(stop_times), SC.profiles(stop_times), mode)
     return out.select("vehicle_id", "seq", "path", "trip_id", "off_m", "score", "min_off_m")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headway.operators import linktime as L
+from headway.operators import matching as M
 from headway.operators import schedule as SC
 from headway.operators import shapes as SH
 from headway.operators import trajectory as T
@@ -84,3 +85,19 @@ def test_shapes_without_fixes_get_no_points(spark):
     text = segs._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in text[text.index("Generate") :]
     assert segs.select("shape_id").distinct().join(points, "shape_id", "left_anti").isEmpty()
+
+
+def test_candidates_are_not_joined_again(spark):
+    """A candidate has its place and schedule when it is made; trips that no fix asks for change nothing."""
+    trips = spark.createDataFrame([("a", "A", "3", "x"), ("b", "A", "7", "x"), ("c", "B", "9", "x"), ("d", "C", "9", "x")], "trip_id string, route_id string, shape_id string, service_id string")
+    fixes = spark.createDataFrame([("v", 1, "A", 2500.0, 60.0, 90.0, None, 1, 500), ("v", 2, "A", 10.0, 9.0, 90.0, "c", 1, 500), ("v", 3, "", 10.0, 9.0, 90.0, "d", 1, 500)], "vehicle_id string, seq int, route_id string, x double, y double, bearing double, reported_trip_id string, day int, now_sec int")
+    times = spark.createDataFrame([(t, 0, 1000) for t in "abcd"], "trip_id string, first_sec int, last_sec int")
+    profile = spark.createDataFrame([("a", 0.0, 0), ("a", 5000.0, 1000)], "trip_id string, dist_m double, cum_sec int")
+    services = spark.createDataFrame([(1, "x")], "day int, service_id string")
+    assert {r["trip_id"] for r in M.trips_asked(fixes.where("seq < 3"), trips).collect()} == {"a", "b", "c"}
+    segs = network(spark)[1]
+    for mode in ("batch", "live"):
+        out = M.match_fixes(fixes, M.trips_asked(fixes, trips), segs, services, times, profile, mode)
+        assert {(r["seq"], r["path"], r["trip_id"]) for r in out.collect()} == {(1, "matched", "a"), (2, "reported", "c"), (3, "unplaced", None)}
+        joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+        assert not [line for line in joins if "vehicle_id#" in line and "shape_id#" in line]

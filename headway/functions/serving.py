@@ -25,13 +25,17 @@ def isotonic(values: Column) -> Column:
     sums = F.aggregate(values, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
     n = F.size(values)
 
-    def at(i):
-        def least(a):
-            return F.array_min(F.transform(F.sequence(i, n), lambda b: (F.element_at(sums, b + 1) - F.element_at(sums, a)) / (b - a + 1)))
+    def fit(sums):
+        def at(i):
+            def least(a):
+                return F.array_min(F.transform(F.sequence(i, n), lambda b: (F.element_at(sums, b + 1) - F.element_at(sums, a)) / (b - a + 1)))
 
-        return F.array_max(F.transform(F.sequence(F.lit(1), i), least))
+            return F.array_max(F.transform(F.sequence(F.lit(1), i), least))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), at)).otherwise(values)
+        return F.transform(F.sequence(F.lit(1), n), at)
+
+    # bound by a lambda, so that the sums are made once an array and not for each mean
+    return F.when(n > 0, F.element_at(F.transform(F.array(sums), fit), 1)).otherwise(values)
 
 
 def arrival_times(now: Column, seconds: Column) -> Column:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from headway.functions.serving import isotonic
 from headway.operators import linktime as L
 from headway.operators import matching as M
 from headway.operators import schedule as SC
@@ -101,3 +102,10 @@ def test_candidates_are_not_joined_again(spark):
         assert {(r["seq"], r["path"], r["trip_id"]) for r in out.collect()} == {(1, "matched", "a"), (2, "reported", "c"), (3, "unplaced", None)}
         joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
         assert not [line for line in joins if "vehicle_id#" in line and "shape_id#" in line]
+
+
+def test_isotonic_sums_once(spark):
+    """The running sums are an expression of the whole array: once, not in each mean."""
+    df = spark.createDataFrame([([3.0, 1.0, 2.0, 5.0, 4.0],), ([],)], "v array<double>").select(isotonic(F.col("v")).alias("fit"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert [r["fit"] for r in df.collect()] == [[2.0, 2.0, 2.0, 4.5, 4.5], []]

@@ -1,9 +1,14 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from headway.llm import suffix_dedup
+from headway.llm.common import materialize
 from headway.llm.suffix_dedup import LENGTH, deep_shallow_order, remove_repeats
 
 
@@ -61,3 +66,21 @@ def test_empty_and_repeated_rows(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string, key int")).count() == 0
     docs = spark.createDataFrame([(1, "q" + "w" * 500), (1, "q" + "w" * 500)], "doc_id long, text string")
     assert {tuple(r)[1:4] for r in remove_repeats(docs).collect()} == {(501, 501, 1)}
+
+
+def test_memory_of_anchors_and_size_of_batches(spark, monkeypatch):
+    """A worker's arrays for anchors stay under 60 MB, and batches that bring it texts or contexts are small."""
+    texts = pa.array(["".join(map(chr, r)) for r in np.random.default_rng(3).integers(97, 123, (1000, 2000))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(range(1000)), texts], ["doc_id", "key", "text"])
+    list(suffix_dedup._anchor_rows([batch.slice(0, 10)]))
+    tracemalloc.start()
+    assert sum(b.num_rows for b in suffix_dedup._anchor_rows([batch])) > 1000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    before, rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), {}
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, label, n=None: rows.update({label: n}) or materialize(df, label, n))
+    sized = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+    assert max(r["n"] for r in materialize(spark.range(0, 9000, 1, 1).mapInArrow(sized, "n long"), "sizes", 2000).collect()) == 2000
+    assert remove_repeats(spark.createDataFrame([(1, "q" * 500)], "doc_id long, text string")).count() == 1
+    assert rows["anchors"] == rows["repeated-spans"] == 2000 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -18,7 +18,11 @@ def lead_bucket(lead: Column) -> Column:
 
 
 def first_actuals(actuals: DataFrame) -> DataFrame:
-    """One arrival for each key: the earliest."""
+    """One arrival for each key: the earliest.
+
+    Arrivals and predictions compress to a few bytes a row in the files that the planner judges them by, so joins
+    with them here are never broadcast.
+    """
     return actuals.groupBy(*KEY).agg(F.min("actual_arrival_ts").alias("actual_arrival_ts"), F.min("route_id").alias("route_id"))
 
 
@@ -28,7 +32,7 @@ def residuals(predictions: DataFrame, actuals: DataFrame, feed_timezone: str = "
     Dropped: predictions without lead, absolute errors over an hour, and with ``bounds(trip_id, start_ts, end_ts)``
     those more than two hours outside the trip's schedule. The flags stay, so that drops can be counted in one pass.
     """
-    joined = predictions.join(first_actuals(actuals).drop("route_id"), KEY)
+    joined = predictions.join(first_actuals(actuals).drop("route_id").hint("merge"), KEY)
     error, lead = F.col("predicted_arrival") - F.col("actual_arrival_ts"), F.col("predicted_arrival") - F.col("feed_ts")
     at = F.timestamp_seconds("feed_ts")
     joined = joined.withColumns({"error_sec": error, "abs_error_sec": F.abs(error), "lead_sec": lead, "lead_bucket": lead_bucket(lead), "hour": F.hour(F.from_utc_timestamp(at, feed_timezone)), "is_weekend": F.weekday(at) >= 5})
@@ -87,7 +91,7 @@ def arriving_now(joined: DataFrame, within: int = K.ARRIVING_NOW_SEC) -> DataFra
 
 def strict_coverage(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
     """``n_actual, n_covered, coverage_frac`` over distinct keys."""
-    keys = actuals.select(*KEY).distinct().join(predictions.select(*KEY).distinct().withColumn("covered", F.lit(1)), KEY, "left")
+    keys = actuals.select(*KEY).distinct().join(predictions.select(*KEY).distinct().withColumn("covered", F.lit(1)).hint("merge"), KEY, "left")
     return keys.agg(F.count("*").alias("n_actual"), F.count("covered").alias("n_covered"), (F.count("covered") / F.count("*")).alias("coverage_frac"))
 
 
@@ -99,9 +103,9 @@ def physical_coverage(predictions: DataFrame, actuals: DataFrame, within: int =
     of a vehicle's day.
     """
     a = first_actuals(actuals).withColumn("b", F.explode(F.expr(f"transform(array(-1, 0, 1), x -> x + actual_arrival_ts div {within})")))
-    p = predictions.select(F.col("vehicle_id").alias("v"), F.col("stop_id").alias("s"), "predicted_arrival", F.expr(f"predicted_arrival div {within}").alias("pb")).distinct()
+    p = predictions.select(F.col("vehicle_id").alias("v"), F.col("stop_id").alias("s"), "predicted_arrival", F.expr(f"predicted_arrival div {within}").alias("pb")).distinct().hint("merge")
     near = (F.col("vehicle_id") == F.col("v")) & (F.col("stop_id") == F.col("s")) & (F.col("b") == F.col("pb")) & (F.abs(F.col("predicted_arrival") - F.col("actual_arrival_ts")) <= within)
-    covered = a.join(p, near, "left_semi").select(*KEY).distinct().withColumn("covered", F.lit(1))
+    covered = a.join(p, near, "left_semi").select(*KEY).distinct().withColumn("covered", F.lit(1)).hint("merge")
     keys = first_actuals(actuals).join(covered, KEY, "left")
     return keys.agg(F.count("*").alias("n_actual"), F.count("covered").alias("n_covered"), (F.count("covered") / F.count("*")).alias("coverage_frac"))
 
@@ -125,9 +129,9 @@ def nearest_prediction(predictions: DataFrame, actuals: DataFrame, within: int =
 
 def coverage_gaps(predictions: DataFrame, actuals: DataFrame, feed_timezone: str = "UTC") -> DataFrame:
     """Arrivals with ``cause``: covered, vehicle_absent, trip_mismatch or stop_missing, and the local hour."""
-    p1 = predictions.select("vehicle_id").distinct().withColumn("has_vehicle", F.lit(True))
-    p2 = predictions.select("vehicle_id", "trip_id").distinct().withColumn("has_trip", F.lit(True))
-    p3 = predictions.select(*KEY).distinct().withColumn("has_stop", F.lit(True))
+    p1 = predictions.select("vehicle_id").distinct().withColumn("has_vehicle", F.lit(True)).hint("merge")
+    p2 = predictions.select("vehicle_id", "trip_id").distinct().withColumn("has_trip", F.lit(True)).hint("merge")
+    p3 = predictions.select(*KEY).distinct().withColumn("has_stop", F.lit(True)).hint("merge")
     tagged = actuals.join(p3, KEY, "left").join(p2, ["vehicle_id", "trip_id"], "left").join(p1, "vehicle_id", "left")
     cause = F.when(F.col("has_stop"), "covered").when(F.col("has_vehicle").isNull(), "vehicle_absent").when(F.col("has_trip").isNull(), "trip_mismatch").otherwise("stop_missing")
     return tagged.select(*KEY, "route_id", "actual_arrival_ts", cause.alias("cause"), F.hour(F.from_utc_timestamp(F.timestamp_seconds("actual_arrival_ts"), feed_timezone)).alias("hour"))

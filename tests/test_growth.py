@@ -7,11 +7,13 @@ from headway.functions.serving import isotonic
 from headway.operators import linktime as L
 from headway.operators import matching as M
 from headway.operators import schedule as SC
+from headway.operators import scoring as S
 from headway.operators import shapes as SH
 from headway.operators import trajectory as T
 from headway.operators.quantiles import quantiles
 from headway.plans import matching_queries as MQ
 from headway.plans import scoring_queries as SQ
+from headway.staging import written
 
 
 def plan(df):
@@ -109,3 +111,16 @@ def test_isotonic_sums_once(spark):
     df = spark.createDataFrame([([3.0, 1.0, 2.0, 5.0, 4.0],), ([],)], "v array<double>").select(isotonic(F.col("v")).alias("fit"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert [r["fit"] for r in df.collect()] == [[2.0, 2.0, 2.0, 4.5, 4.5], []]
+
+
+def test_predictions_and_arrivals_are_never_broadcast(spark):
+    """Their files are small beside their rows: no join of scoring or coverage sends them to the driver and every task."""
+    p = spark.createDataFrame([("v", "a", "s1", 1, 10, 70), ("v", "a", "s1", 1, 20, 80), ("w", "b", "s2", 2, 10, 900)], "vehicle_id string, trip_id string, stop_id string, stop_sequence int, feed_ts long, predicted_arrival long")
+    a = spark.createDataFrame([("v", "a", "r", "s1", 1, 75), ("v", "c", "r", "s1", 1, 3000), ("w", "b", "r", "s3", 3, 75), ("x", "d", "r", "s1", 1, 75)], "vehicle_id string, trip_id string, route_id string, stop_id string, stop_sequence int, actual_arrival_ts long")
+    p, a = written(p, "predictions"), written(a, "actuals")
+    residuals, gaps = S.residuals(p, a), S.coverage_gaps(p, a)
+    for out in (residuals, S.strict_coverage(p, a), S.physical_coverage(p, a), gaps):
+        assert "Broadcast" not in plan(out)
+    assert sorted(r["error_sec"] for r in residuals.collect()) == [-5, 5]
+    assert sorted((r["trip_id"], r["cause"]) for r in gaps.collect()) == [("a", "covered"), ("b", "stop_missing"), ("c", "trip_mismatch"), ("d", "vehicle_absent")]
+    assert S.strict_coverage(p, a).first()["n_covered"] == 1 and S.physical_coverage(p, a).first()["n_covered"] == 2

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.llm.common import components, discard, materialize, mix64, shingles, text_chunks
@@ -155,6 +155,21 @@ def _sign(batches: Iterator) -> Iterator:
                 yield pa.RecordBatch.from_arrays([pa.array(sig[a : a + 65536].view(np.int64)), pa.array(ids[first + part]), pa.array(info[a : a + 65536])], ["sig", "id", "info"])
 
 
+def _elements(batches: Iterator) -> Iterator:
+    """The distinct shingles of each text, with a number for the set and its size."""
+    import pyarrow as pa
+
+    for batch in batches:
+        ids = batch.column("doc_id").to_numpy()
+        for first, rows, row, token in _sets(batch.column("text")):
+            n = np.bincount(row, minlength=rows)
+            total = np.zeros(rows, np.uint64)
+            np.add.at(total, row, mix64(token))
+            for a in range(0, len(row), 65536):
+                at = row[a : a + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[first + at], total[at].view(np.int64), token[a : a + 65536].view(np.int64), n[at])], ["doc_id", "set", "token", "n"])
+
+
 def _shingle_set(text: bytes | None) -> set:
     w = (text or b"").lower().split()
     return set(zip(w, w[1:], w[2:], w[3:], w[4:], strict=False)) if len(w) >= 5 else {tuple(w)} if w else set()
@@ -266,14 +281,49 @@ def _likely(pairs: DataFrame, share: float) -> DataFrame:
     return counted.where(F.col("by_prefix") | (F.col("n") >= share * F.col("need"))).select("a", "b")
 
 
+def _class(n: str) -> Column:
+    """Classes of sizes, four in a hundred wide."""
+    return F.floor(25 * F.log(n)).cast("int")
+
+
+def _crossing(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: sets of different components that meet at a signature of ``crowd(sig, id, c)`` or may link all the same.
+
+    Linked sets share OF_BOTH / OVERLAP of both sizes at least, so each has one of the shared shingles among its rarest
+    ones, of which so few count that the others don't suffice. What a copy has changed is rare, what it has left as it
+    was is frequent; copies that differ too much meet by nothing of the former. A shingle meets only those of the sizes
+    for which it is among the rarest, by classes of sizes.
+    """
+    mixed = crowd.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("sig")
+    among = materialize(crowd.join(mixed, "sig", "left_semi").select(F.col("id").alias("doc_id"), "c").distinct(), "open-sets")
+    tokens = materialize(_having(texts, among.select("doc_id")).mapInArrow(_elements, "doc_id long, set long, token long, n long"), "open-shingles")
+    often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    of_set = Window.partitionBy("doc_id", "set").orderBy(F.coalesce("f", F.lit(1)), "token")
+    ranked = tokens.join(often, "token", "left").withColumn("rank", F.dense_rank().over(of_set).cast("long")).where("f > 1")
+    least = F.expr("(3 * n + 3) div 4")
+    most = F.least(F.expr("4 * n div 3"), F.expr(f"{OVERLAP} * (n + 1 - rank) div {OF_BOTH} - n"))
+    ranked = ranked.withColumn("least", least).withColumn("most", most).where("least <= most")
+    keyed = ranked.join(among, "doc_id").select("token", "doc_id", "c", "n", "most", _class("n").alias("own"), F.explode(F.sequence(_class("least"), _class("most"))).alias("other"))
+    met = materialize(keyed.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")), "open-rarest")
+    key = ["token", "low", "high"]
+    several = met.groupBy(*key).agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select(*key)
+    keyed = materialize(met.join(several, key, "left_semi"), "open-prefixes")
+    side = lambda x: keyed.where("own = low" if x == "a" else "own = high").select(*key, *(F.col(v).alias(f"{v}_{x}") for v in ("doc_id", "c", "n", "most")))
+    fit = (F.col("n_b") <= F.col("most_a")) & (F.col("n_a") <= F.col("most_b")) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b"))
+    close = side("a").join(side("b"), key).where((F.col("c_a") != F.col("c_b")) & fit & ((F.col("low") < F.col("high")) | (F.col("doc_id_a") < F.col("doc_id_b"))))
+    pairs = materialize(close.select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct(), "cross-candidates")
+    discard(among, tokens, met, keyed)
+    return pairs
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
     Documents with the same set are one class, of which the least doc_id is signed. A signature's members first
     meet the one whose signatures occur most often, which in a group of altered copies is the one least altered; then
-    another, chosen by hash, in each of a few rounds; only those that then still lie in different components are paired
-    with each other, and verified if they share as many signatures as linked sets of their sizes must. So a group of
-    copies costs a star, and no link between different texts is lost: the result is exact.
+    another, chosen by hash, in each of a few rounds; of those that then still lie in different components, sets are
+    verified that share one of the rarest shingles of both. So a group of copies costs a star, as do copies that differ
+    too much from it by changes of their own, and no link between different texts is lost: the result is exact.
 
     Null and empty texts have no shingles and link with nothing; a row with a null doc_id neither; rows that share a
     doc_id are one node.
@@ -309,15 +359,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         if new.isEmpty():
             break
     discard(kept, reach)
-    mixed = crowd.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("sig")
-    mixed = crowd.join(mixed, "sig")
-    side = lambda x: mixed.select("sig", F.col("id").alias(x), *(F.col(v).alias(f"{v}_{x}") for v in ("info", "front", "rest", "c")))
-    cross = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")))
-    cross = _likely(cross, 1.0).join(tested, ["a", "b"], "left_anti")
-    crossed = _linked(cross, texts, "cross")
+    candidates = _crossing(crowd, texts)
+    crossed = _linked(candidates.join(tested, ["a", "b"], "left_anti"), texts, "cross")
     reach = components(links.unionByName(crossed), "jaccard-components")
     solved = materialize(classes.join(reach, classes["rep"] == reach["id"], "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id")), "jaccard-solved")
-    discard(crowd, crossed, reach, classes, *stars)
+    discard(crowd, crossed, candidates, reach, classes, *stars)
     linked = digest.where("n_shingles > 0").join(solved, ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return linked.unionByName(digest.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -1,5 +1,6 @@
 import random
 
+from headway.llm import jaccard_join
 from headway.llm.jaccard_join import similar_documents
 
 
@@ -55,3 +56,25 @@ def test_defined_cases(spark):
     got = sorted((tuple(r) for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == sorted([(None, 2, None), (4, 2, 2), (4, 2, 2), (2, 2, 2), (9, 0, 9)], key=repr)
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string, n_shingles int")).count() == 0
+
+
+def test_copies_just_below_the_threshold_are_not_paired(spark, monkeypatch):
+    """Copies with two changed words link with their original, those with three don't, and each of a few has a copy of its own."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 241):
+        w = list(base)
+        for k in r.sample(range(10, 90, 6), 2 if i % 2 else 3):
+            w[k] = word()
+        rows.append((i, " ".join(w)))
+        if i % 40 == 0:
+            w[5] = word()
+            rows.append((1000 + i, " ".join(w)))
+    verified = []
+    linked = jaccard_join._linked
+    monkeypatch.setattr(jaccard_join, "_linked", lambda pairs, texts, label: (verified.append(pairs.count()), linked(pairs, texts, label))[1])
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert sum(verified) < 8 * len(rows), verified

@@ -91,5 +91,20 @@ def test_shuffled_disclosure_table_agrees_on_quotes_and_hyphens(spark, monkeypat
     assert sorted(map(tuple, sanitise(docs).collect())) == whole
 
 
+def test_op1_takes_a_disclosing_term_from_every_document(spark, tmp_path, monkeypatch):
+    """Also from those without data, and whatever its length."""
+    import headway.llm.pii as pii
+
+    told = [(i, f"Zorblatt and Bo and \u738b told zor@example.com {i}") for i in range(4)]
+    rows = [*told, (10, "\u738b met\nBO with Zorblatt"), (11, "told and met"), (12, None), (13, "")]
+    rows += [(100 + i, f"and told nobody {i}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in pii.op1_pii(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows) and [i for i in sorted(out) if out[i]["n_terms"]] == [0, 1, 2, 3, 10]
+    assert out[10]["spans"] == "term:0:1,term:6:8,term:14:22" and out[10]["n_email"] == 0
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert {r["doc_id"]: r for r in pii.op1_pii(spark, str(tmp_path)).collect()} == out
+
+
 def test_empty_table(spark):
     assert sanitise(spark.createDataFrame([], "doc_id long, text string, spans int")).count() == 0

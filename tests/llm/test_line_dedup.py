@@ -147,3 +147,12 @@ def test_blocks_vote_by_part(spark):
         parts = [[h for h in hashes[r["id"]] if (h + 2**63) * line_dedup.PARTS >> 64 == p] for p in range(line_dedup.PARTS)]
         bits = [sum(1 << b for b in (s + 8 * lane for s in range(3) for lane in range(8)) if 2 * sum(h >> b & 1 for h in p) > len(p)) for p in parts]
         assert tuple(r)[1:4] == tuple(bits[i] | bits[i + 1] << 3 for i in (0, 2, 4)) and r["n_words"] == len(hashes[r["id"]])
+
+
+def test_lines_of_any_length_are_compared(spark):
+    """Over 32,767 different words in a part."""
+    words = [f"w{i}" for i in range(200_000)]
+    edited = " ".join([*words[:9], "other", *words[10:]])
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "short\n" + edited), (3, "a line of its own")], "doc_id long, text string")
+    assert line_dedup._add_blocks(_lines(docs).where("doc_id < 3 AND pos = doc_id - 1")).where("f0 IS NULL OR f1 IS NULL OR f2 IS NULL").count() == 0
+    assert {r["doc_id"]: r["n_removed"] for r in dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import components, materialize
+from headway.llm.common import components, discard, materialize
 
 COSINE = 0.93
-#: Dimensions of a block, and rows of a cell that one task compares with as many others.
+#: Dimensions of a block, and vectors of a label that make a chunk: a task compares one with itself or with another.
 BLOCK_DIMS = 8
-CHUNK_ROWS = 1024
-#: Vectors of a label for each cell, on average: sets how many signs of a block's coordinates make up its cells.
+CHUNK_ROWS = 16_384
+#: Vectors of a chunk for each cell, on average: sets how many signs of a block's coordinates make up its cells.
 CELL_ROWS = 512
+#: Linked pairs that a task holds before they shrink to a forest.
+PAIRS_HELD = 1_000_000
+#: Most shuffle partitions that groups of chunks ask for.
+MOST_PARTITIONS = 2000
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -44,28 +49,61 @@ def _flips(values: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((values**2) @ bits.T <= budget)
 
 
-def _links_within(unit: np.ndarray, rotated: np.ndarray, home: np.ndarray, left: np.ndarray, right: np.ndarray, j: int, spans: list, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs (indices) between rows ``left`` and ``right``, at least one of them at home, first met in block ``j``."""
+def _signs(values: np.ndarray) -> np.ndarray:
+    return ((values >= 0) << np.arange(values.shape[1])).sum(1)
+
+
+def _apart(rotated: np.ndarray, p: np.ndarray, q: np.ndarray, span: tuple[int, int, float]) -> np.ndarray:
+    """Whether the pairs' distances in a block exceed its budget."""
+    return ((rotated[p, span[0] : span[1]] - rotated[q, span[0] : span[1]]) ** 2).sum(1) > span[2]
+
+
+def _met(x: np.ndarray, y: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (indices into x and y) of squared distance ``most`` at most, up to 50,000 at a time: the distances are one matrix product."""
+    y = np.column_stack([-2 * y, np.ones(len(y)), (y * y).sum(1)]).T
+    x = np.column_stack([x, (x * x).sum(1), np.ones(len(x))])
+    for a in range(0, len(x), 256):
+        p, q = np.nonzero(x[a : a + 256] @ y <= most)
+        for k in range(0, len(p), 50_000):
+            yield p[k : k + 50_000] + a, q[k : k + 50_000]
+
+
+def _links_within(unit: np.ndarray, rotated: np.ndarray, left: np.ndarray, right: np.ndarray, spans: list, signs: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs (indices) between rows ``left`` and ``right``, which may be the same: each once, from the first block whose budget it keeps to.
+
+    In each block a left vector is at home in the cell of its coordinates' signs, and a right one visits all cells that
+    its ball can reach; of the same rows, those of larger mask. Reach and distance have a little over the budget, so
+    that rounding loses none of the pairs that :func:`_apart` lets pass.
+    """
     same = left is right
-    lo, hi, budget = spans[j]
-    y = rotated[right, lo:hi]
-    for a in range(0, len(left), 256):
-        rows = left[a : a + 256]
-        x = rotated[rows, lo:hi]
-        fits = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T <= budget
-        fits &= home[rows][:, None] | home[right][None, :]
-        at = np.nonzero(fits)
-        for k in range(0, len(at[0]), 50_000):
-            p, q = rows[at[0][k : k + 50_000]], right[at[1][k : k + 50_000]]
-            if same:
-                p, q = p[p < q], q[p < q]
-            near = (unit[p] * unit[q]).sum(1) >= cosine
-            p, q = p[near], q[near]
-            seen = np.zeros(len(p), bool)
-            for lo_b, hi_b, budget_b in spans[:j]:
-                u, v = rotated[p, lo_b:hi_b], rotated[q, lo_b:hi_b]
-                seen |= (u * u).sum(1) + (v * v).sum(1) - 2 * (u * v).sum(1) <= budget_b
-            yield p[~seen], q[~seen]
+    for j, span in enumerate(spans):
+        lo, hi, most = span[0], span[1], span[2] * (1 + 1e-9) + 1e-12
+        inner = slice(lo, min(hi, lo + signs))
+        home = _signs(rotated[left, inner])
+        row, mask = _flips(rotated[right, inner], most)
+        cell = (home if same else _signs(rotated[right, inner]))[row] ^ mask
+        if same:
+            keep = (mask == 0) | (cell > home[row])
+            row, mask, cell = row[keep], mask[keep], cell[keep]
+        at_home, visit = np.argsort(home, kind="stable"), np.argsort(cell, kind="stable")
+        row, visitor, edges = right[row[visit]], mask[visit] > 0, np.arange((1 << inner.stop - lo) + 1)
+        of_home, of_visit = np.searchsorted(home[at_home], edges), np.searchsorted(cell[visit], edges)
+        for c in range(len(edges) - 1):
+            mine, guests = left[at_home[of_home[c] : of_home[c + 1]]], slice(of_visit[c], of_visit[c + 1])
+            if not len(mine) or guests.start == guests.stop:
+                continue
+            theirs, foreign = row[guests], visitor[guests]
+            for x, y in _met(rotated[mine, lo:hi], rotated[theirs, lo:hi], most):
+                p, q = mine[x], theirs[y]
+                if same:
+                    once = foreign[y] | (p < q)
+                    p, q = p[once], q[once]
+                near = (unit[p] * unit[q]).sum(1) >= cosine
+                p, q = p[near], q[near]
+                first = ~_apart(rotated, p, q, span)
+                for before in spans[:j]:
+                    first &= _apart(rotated, p, q, before)
+                yield p[first], q[first]
 
 
 def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -87,89 +125,87 @@ def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return root
 
 
+def _groups(own: Column, chunks: Column, apart: int) -> Column:
+    """The groups that a row of chunk ``own`` goes to when chunks meet that lie so far apart on a circle: each is named by one of its chunks."""
+    if not apart:
+        return F.array(own)
+    twice = F.array(own, F.pmod(own - apart, chunks).cast("int"))
+    return F.when(chunks == 2 * apart, F.array(F.pmod(own, F.lit(apart)).cast("int"))).otherwise(twice)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors(vec_id, embedding, label)``.
 
     Vectors of one label and dimension are linked at this cosine or more, in double precision. Equal vectors are one
-    class first, so that copies cost a count. Unit vectors are rotated and cut into blocks of 8 coordinates; of two
-    linked ones at least one block lies within its share of the squared distance ``2 - 2 cos``. In each block a vector
-    is at home in the cell of its coordinates' signs and visits the cells (of larger mask) that its ball can reach, so
-    each pair meets in one cell of every block that qualifies, and counts in the first of them alone. More signs make
-    the cells, the more vectors a label has. A crowded cell is dealt into chunks by hash, each pair of chunks being a
-    task of its own, which returns counts and a spanning forest, never pairs.
+    class first, so that copies cost a count. The classes of a label are dealt into chunks by hash, and each chunk meets
+    itself and every other one in a task of its own, which returns counts and a spanning forest, never pairs. There the
+    unit vectors are rotated and cut into blocks of 8 coordinates; of two linked ones at least one block lies within its
+    share of the squared distance ``2 - 2 cos``. In each block a vector is at home in the cell of its coordinates' signs
+    and others visit the cells that their balls can reach, so that each pair meets in one cell of every block that
+    qualifies, and counts in the first of them alone. More signs make the cells, the more vectors a chunk has.
+
+    Chunks meet in rounds, in each of which a vector is shuffled twice at most, whatever the size of its label; Spark
+    drops a round's shuffle files at its end. Of a label of n vectors every pair of chunks is compared: bounded in memory
+    and disk, but the time grows with n squared.
 
     Vectors without label, null, empty, zero, or with null or non-finite components link with nothing. Rows that share
-    a vec_id each count as a vector, and reach the same component.
+    a vec_id each count as a vector, and reach the same component. ``vectors`` is read twice; rows find their class by
+    label and 128 bits of hash of the vector.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"), F.col("label"))
     ok = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("e") > 0) & F.expr("NOT exists(e, x -> x IS NULL OR isnan(x) OR abs(x) = double('inf'))") & F.expr("exists(e, x -> x <> 0)")
-    rows = materialize(rows.withColumn("ok", F.coalesce(ok, F.lit(False))), "vectors")
+    rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
     classes = materialize(rows.where("ok").groupBy("label", "e").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vector-classes")
-    sizes = classes.groupBy("label", F.size("e").alias("dims")).agg(F.count("*").alias("n")).withColumn("signs", F.greatest(F.lit(0), F.least(F.lit(BLOCK_DIMS), F.round(F.log2(F.col("n") / cell_rows)).cast("int"))))
+    sizes = classes.groupBy("label", F.size("e").alias("dims")).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
     sizes = materialize(sizes, "vector-sizes")
-    sized = classes.join(sizes.withColumnRenamed("label", "l"), (F.col("label") == F.col("l")) & (F.size("e") == F.col("dims"))).select("id", "copies", "label", "dims", "signs", "e")
+    groups, most = sizes.agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.max("chunks"), F.lit(1))).first()
+    crowded = sizes.where("chunks > 1").select(F.col("label").alias("l"), F.col("dims").alias("d"), "chunks")  # a row for chunk_rows vectors at most
+    of_size = (F.col("label") == F.col("l")) & (F.size("e") == F.col("d"))
+    chunked = classes.join(F.broadcast(crowded), of_size, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunked = chunked.select("id", "copies", "label", F.size("e").alias("dims"), "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("own"), "e")
+    partitions = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * groups, MOST_PARTITIONS))
     budget = 2 - 2 * cosine
-    label = vectors.schema["label"].dataType.simpleString()
-    schema = f"id long, copies long, label {label}, dims int, block int, cell int, home boolean, e {vectors.schema["embedding"].dataType.simpleString()}"
-
-    def place(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        turn: dict[int, np.ndarray] = {}
-        for batch in batches:
-            dims, signs = batch.column("dims").to_numpy(), batch.column("signs").to_numpy()
-            for d in np.unique(dims):
-                if d not in turn:
-                    turn[d] = rotation(int(d))
-                here = np.flatnonzero(dims == d)
-                part = batch.take(pa.array(here))
-                rotated = _unit(part.column("e")) @ turn[d]
-                for j, (lo, hi, most) in enumerate(_blocks(int(d), budget)):
-                    for n in np.unique(signs[here]):
-                        own_rows = np.flatnonzero(signs[here] == n)
-                        x = rotated[own_rows, lo : min(hi, lo + n)]
-                        own = ((x >= 0) << np.arange(x.shape[1])).sum(1)
-                        row, mask = _flips(x, most)
-                        cell = own[row] ^ mask
-                        keep = (mask == 0) | (cell > own[row])
-                        row, cell, home = own_rows[row[keep]], cell[keep], mask[keep] == 0
-                        for a in range(0, len(row), 8192):
-                            few, size = part.take(pa.array(row[a : a + 8192])), len(row[a : a + 8192])
-                            yield pa.RecordBatch.from_arrays([few.column("id"), few.column("copies"), few.column("label"), few.column("dims"), pa.array(np.full(size, j), pa.int32()), pa.array(cell[a : a + 8192], pa.int32()), pa.array(home[a : a + 8192]), few.column("e")], ["id", "copies", "label", "dims", "block", "cell", "home", "e"])
-
-    placed = materialize(sized.mapInArrow(place, schema), "vector-cells")
-    cell = ["label", "dims", "block", "cell"]
-    crowd = materialize(placed.groupBy(*cell).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"), F.count_if("home").alias("homes")).where("homes > 0"), "vector-crowds")
-    dealt = placed.join(crowd, cell).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("id", "copies", *cell, "home", "e", "own", F.least("own", "other").alias("c1"), F.greatest("own", "other").alias("c2"))
-
-    def compare(keys, table):
-        import pyarrow as pa
-
-        d, j, c1, c2 = (keys[i].as_py() for i in (1, 2, 4, 5))
-        ids, copies, own = (table.column(c).to_numpy() for c in ("id", "copies", "own"))
-        order = np.argsort(ids, kind="stable")
-        ids, copies, own = ids[order], copies[order], own[order]
-        home = table.column("home").to_numpy(zero_copy_only=False)[order]
-        unit = _unit(table.column("e"))[order]
-        rotated = unit @ rotation(d)
-        left, right = np.flatnonzero(own == c1), np.flatnonzero(own == c2)
-        pairs, links = [], np.zeros(len(ids), np.int64)
-        for p, q in _links_within(unit, rotated, home, left, left if c1 == c2 else right, j, _blocks(d, budget), cosine):
-            np.add.at(links, p, copies[q])
-            np.add.at(links, q, copies[p])
-            pairs.append((p, q))
-        root = _forest(len(ids), pairs)
-        out = np.flatnonzero(links)
-        return pa.table({"id": pa.array(ids[out], pa.int64()), "links": pa.array(links[out]), "root": pa.array(ids[root[out]], pa.int64())})
-
-    met = materialize(dealt.groupBy(*cell, "c1", "c2").applyInArrow(compare, "id long, links long, root long"), "vector-links")
+
+    def comparing(same: bool):
+        def compare(keys, table):
+            import pyarrow as pa
+
+            d, c = keys[1].as_py(), keys[2].as_py()
+            ids, copies, own = (table.column(x).to_numpy() for x in ("id", "copies", "own"))
+            order = np.argsort(ids, kind="stable")
+            ids, copies, own = ids[order], copies[order], own[order]
+            unit = _unit(table.column("e"))[order]
+            rotated = unit @ rotation(d)
+            left = np.flatnonzero(own == c)
+            right = left if same else np.flatnonzero(own != c)
+            signs = int(np.clip(np.round(np.log2(max(len(left), len(right), 1) / cell_rows)), 0, BLOCK_DIMS))
+            pairs, held, links = [], 0, np.zeros(len(ids), np.int64)
+            for p, q in _links_within(unit, rotated, left, right, _blocks(d, budget), signs, cosine):
+                links += np.bincount(p, copies[q], len(ids)).astype(np.int64) + np.bincount(q, copies[p], len(ids)).astype(np.int64) if len(p) else 0
+                pairs.append((p, q))
+                held += len(p)
+                if held > PAIRS_HELD:
+                    pairs, held = [(np.arange(len(ids)), _forest(len(ids), pairs))], 0
+            root = _forest(len(ids), pairs)
+            out = np.flatnonzero(links)
+            return pa.table({"id": pa.array(ids[out], pa.int64()), "links": pa.array(links[out]), "root": pa.array(ids[root[out]], pa.int64())})
+
+        return compare
+
+    rounds = []
+    for apart in range(most // 2 + 1):
+        dealt = chunked.where(F.col("chunks") >= 2 * apart).withColumn("c", F.explode(_groups(F.col("own"), F.col("chunks"), apart)))
+        dealt = dealt.select("id", "copies", "label", "dims", "c", "own", "e").repartition(partitions, "label", "dims", "c")
+        rounds.append(materialize(dealt.groupBy("label", "dims", "c").applyInArrow(comparing(not apart), "id long, links long, root long"), "vector-links"))
+    met = reduce(DataFrame.unionByName, rounds)
     reach = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")), "vector-components")
     counts = met.groupBy("id").agg(F.sum("links").alias("links"))
-    solved = classes.join(counts, "id", "left").join(reach, "id", "left")
-    solved = solved.select("label", "e", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    solved = materialize(solved.withColumn("key", F.xxhash64("label", "e")), "vector-solved")
-    linked = rows.where("ok").withColumn("key", F.xxhash64("label", "e")).alias("r").join(solved.alias("s"), (F.col("r.key") == F.col("s.key")) & (F.col("r.label") == F.col("s.label")) & (F.col("r.e") == F.col("s.e"))).select("r.vec_id", "s.n_links", "s.component_id")
+    keyed = lambda table, *columns: table.select(*columns, "label", F.xxhash64("e").alias("k1"), F.xxhash64(F.lit(1), "e").alias("k2"))
+    solved = keyed(classes, "id", "copies").join(counts, "id", "left").join(reach, "id", "left")
+    solved = solved.select("label", "k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    solved = materialize(solved, "vector-solved")
+    discard(classes, sizes, reach, *rounds)
+    linked = keyed(rows.where("ok"), "vec_id").join(solved, ["label", "k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

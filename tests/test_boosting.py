@@ -57,6 +57,24 @@ def test_without_validation_rows(spark):
         BO.boost(rows.where("false"), "y", columns=COLUMNS)
 
 
+def test_the_running_table_is_never_cached(spark, monkeypatch):
+    """It outgrows the executors' heaps; and only the table of the stage before is kept on disk beside the one that is written."""
+    rows = BO.with_validation_days(noisy(spark, 4, 20), share=0.4)
+    cached, live, most = [], set(), []
+    for name in ("persist", "cache"):
+        monkeypatch.setattr(type(rows), name, lambda df, *a, f=getattr(type(rows), name): cached.append(df) or f(df, *a))
+
+    def write(df, label, f=BO.written):
+        live.add((out := f(df, label)).written_to)
+        most.append(len(live))
+        return out
+
+    monkeypatch.setattr(BO, "written", write)
+    monkeypatch.setattr(BO, "discard", lambda *tables, f=BO.discard: (live.difference_update(t.written_to for t in tables), f(*tables)))
+    model = BO.boost(rows, "y", "w", columns=COLUMNS, max_iter=3, depth=2, least_leaf=2)
+    assert model.stages_grown == 3 and not cached and most == [1, 2, 2, 2] and not live
+
+
 def test_horizon_gaps(spark):
     """Between the shortest and the longest horizon, one that a table lacks has the longest's value."""
     table = F.create_map(*map(F.lit, (1, 10, 2, 5, 5, 15)))

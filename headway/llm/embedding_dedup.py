@@ -98,12 +98,13 @@ def _links_within(unit: np.ndarray, rotated: np.ndarray, left: np.ndarray, right
                 if same:
                     once = foreign[y] | (p < q)
                     p, q = p[once], q[once]
-                near = (unit[p] * unit[q]).sum(1) >= cosine
-                p, q = p[near], q[near]
-                first = ~_apart(rotated, p, q, span)
+                inside = ~_apart(rotated, p, q, span)
+                p, q = p[inside], q[inside]
                 for before in spans[:j]:
-                    first &= _apart(rotated, p, q, before)
-                yield p[first], q[first]
+                    anew = _apart(rotated, p, q, before)
+                    p, q = p[anew], q[anew]
+                near = (unit[p] * unit[q]).sum(1) >= cosine
+                yield p[near], q[near]
 
 
 def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
